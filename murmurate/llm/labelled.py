@@ -11,8 +11,8 @@ def remainder(column: str, modulus: int):
     return F.crc32(F.col(column).cast("string").cast("binary")) % modulus
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str, learn, rows: int) -> list[tuple[str, int]]:
-    """(text, label) of at most rows documents of each class, where learn holds for the labels' rows.
+def sample(docs: DataFrame, labels: DataFrame, label: str, learn, rows: int) -> tuple[list[tuple[str, int]], dict[int, int]]:
+    """(text, label) of at most rows documents of each class, where learn holds for the labels' rows; and how many each class has in all.
 
     Which ones is decided by a hash of doc_id. A doc_id with several labels counts as 1 if any is 1;
     null ids, labels and texts are left out, and of documents that repeat a doc_id one text is taken.
@@ -25,8 +25,8 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, learn, rows: int) ->
         picked = part if picked is None else picked.unionByName(part)
     ids = picked.collect()  # 2 * rows at most
     if not ids:
-        return []
+        return [], {}
     chosen = docs.sparkSession.createDataFrame(ids, "doc_id bigint, label int")
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id")
     got = {r.doc_id: (r.text, r.label) for r in sorted(texts.collect(), key=lambda r: (r.doc_id, r.text), reverse=True)}
-    return [got[k] for k in sorted(got)]
+    return [got[k] for k in sorted(got)], {r.label: r["count"] for r in one.groupBy("label").count().collect()}

@@ -1,8 +1,8 @@
 """Quality by compression: text of a class compresses best behind a dictionary of that class.
 
 fit() builds one zstandard dictionary from good and one from bad labelled text, and calibrates on labelled
-texts that went into neither: score = logistic(a * d + b), where d is the difference of a text's two compressed
-sizes over their sum. The sample is bounded (ROWS of each class); scoring compresses whole texts of any length.
+texts that went into neither: d is the difference of a text's two compressed sizes over its own size, and score(d)
+is the rising step function that fits the held labels best, each class weighing what it has in all. The sample is bounded (ROWS of each class); scoring compresses whole texts of any length.
 
 Null and empty texts have d = 0 and get that score; without labels of both classes every score is 0.5.
 Repeated rows are scored each; an empty table gives no rows; columns other than doc_id and text are not looked at.
@@ -23,7 +23,7 @@ from . import labelled
 #: Labelled documents of each class that a model is fitted to, at most.
 ROWS = 4000
 #: Bytes of a dictionary.
-DICTIONARY = 64 * 1024
+DICTIONARY = 32 * 1024
 LEVEL = 3
 
 
@@ -31,8 +31,9 @@ LEVEL = 3
 class Model:
     good: bytes
     bad: bytes
-    slope: float
-    bias: float
+    #: Differences and the scores there; between them scores are interpolated.
+    at: np.ndarray
+    level: np.ndarray
 
     def differences(self, texts: list[bytes]) -> np.ndarray:
         """Above 0 where a text compresses better behind the good dictionary."""
@@ -43,12 +44,11 @@ class Model:
         for i, t in enumerate(texts):
             if t:
                 g, x = len(a.compress(t)), len(b.compress(t))
-                out[i] = (x - g) / (x + g)
+                out[i] = (x - g) / len(t)
         return out
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
-        z = np.clip(self.slope * self.differences(texts) + self.bias, -40, 40)
-        return 1 / (1 + np.exp(-z))
+        return np.interp(self.differences(texts), self.at, self.level)
 
 
 _compressors: dict[bytes, zstandard.ZstdCompressor] = {}
@@ -70,31 +70,28 @@ def _dictionary(texts: list[bytes]) -> bytes:
         return b"\n".join(texts)[:DICTIONARY] or b" "
 
 
-def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and bias by Newton's method, each row counted once; a light penalty keeps separable data finite."""
-    scale = float(np.std(x)) or 1.0
-    x = np.column_stack([x / scale, np.ones(len(x))])
-    w = np.zeros(2)
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -40, 40)))
-        g = x.T @ (p - y) + 0.1 * np.array([w[0], 0])
-        h = (x * (p * (1 - p))[:, None]).T @ x + np.diag([0.1, 1e-6])
-        step = np.linalg.solve(h, g)
-        w -= np.clip(step, -2, 2)
-        if np.abs(step).max() < 1e-9:
-            break
-    return float(w[0] / scale), float(w[1])
-
-
-def fit(rows: list[tuple[str, int]]) -> Model:
-    """Of each class, even rows make the dictionary and odd rows calibrate."""
+def _rising(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The rising step function with the least weighted square error, by pooling adjacent violators."""
+    blocks: list[list[float]] = []  # mean, weight, from, to
+    for i in np.argsort(x, kind="stable"):
+        blocks.append([y[i], weight[i], x[i], x[i]])
+        while len(blocks) > 1 and (blocks[-2][0] >= blocks[-1][0] or blocks[-2][3] == blocks[-1][2]):
+            m, w, _, end = blocks.pop()
+            last = blocks[-1]
+            blocks[-1] = [(last[0] * last[1] + m * w) / (last[1] + w), last[1] + w, last[2], end]
+    return np.array([v for b in blocks for v in b[2:]]), np.clip([b[0] for b in blocks for _ in "ab"], 0.001, 0.999)
+
+
+def fit(rows: list[tuple[str, int]], totals: dict[int, int] | None = None) -> Model:
+    """Of each class, even rows make the dictionary and odd rows calibrate. totals: how many each class has in all."""
     sides = {v: [t.encode() for t, y in rows if y == v and t.strip()] for v in (0, 1)}
     if min(map(len, sides.values())) < 2:
-        return Model(b"", b"", 0.0, 0.0)
-    model = Model(_dictionary(sides[1][::2]), _dictionary(sides[0][::2]), 0.0, 0.0)
+        return Model(b"", b"", np.zeros(1), np.full(1, 0.5))
+    model = Model(_dictionary(sides[1][::2]), _dictionary(sides[0][::2]), np.zeros(1), np.full(1, 0.5))
     held = [(t, v) for v in (0, 1) for t in sides[v][1::2]]
     y = np.array([v for _, v in held], float)
-    model.slope, model.bias = _logistic(model.differences([t for t, _ in held]), y)
+    share = {v: (totals or {}).get(v, len(sides[v])) / len(sides[v]) for v in (0, 1)}
+    model.at, model.level = _rising(model.differences([t for t, _ in held]), y, np.where(y == 1, share[1], share[0]))
     return model
 
 
@@ -111,4 +108,4 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
 
 
 def train(docs: DataFrame, labels: DataFrame, learn, rows: int = ROWS) -> Model:
-    return fit(labelled.sample(docs, labels, "quality", learn, rows))
+    return fit(*labelled.sample(docs, labels, "quality", learn, rows))

@@ -1,7 +1,7 @@
 """Toxicity by subword bags: a linear softmax over averaged embeddings of character n-grams.
 
 A word is the average of the vectors of its n-grams (3 to 6 bytes, small ASCII letters, with its borders), a bag
-the average of its words, so a misspelling that was never seen shares most of a known word's vectors. Vectors and
+the average of its words (one that recurs within WINDOW words counts once, the others as 0), so a misspelling that was never seen shares most of a known word's vectors. Vectors and
 softmax are trained jointly. A text's logit is that of its most toxic WINDOW of words (or of the text, if shorter):
 an insult weighs the same in a long text as in a short one. Training begins with whole texts as bags and then takes
 each text's worst window by the model so far.
@@ -48,6 +48,16 @@ def ngrams(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.nda
     return buckets[order], words[order]
 
 
+def recurring(names: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Which words occur less than WINDOW words earlier in their text."""
+    order = np.argsort(names, kind="stable")
+    near = (names[order][1:] == names[order][:-1]) & (np.diff(order) < WINDOW)
+    near &= np.searchsorted(first, order[1:], "right") == np.searchsorted(first, order[:-1], "right")
+    out = np.zeros(len(names), bool)
+    out[order[1:][near]] = True
+    return out
+
+
 @dataclass
 class Model:
     #: What each n-gram adds to the logit: its vector along the difference of the softmax's two rows.
@@ -75,6 +85,7 @@ class Model:
             got = np.bincount(word, self.weights[buckets], len(one)) / np.maximum(n, 1)
             out[miss] = got[back]
             self._keys[slot[one]], self._known[slot[one]] = new, got
+        out[recurring(names, w.first)] = 0
         return out
 
     def worst(self, w: flat.Words) -> tuple[np.ndarray, np.ndarray]:
@@ -118,6 +129,7 @@ class _Trainer:
         self.moments = [[np.zeros_like(p), np.zeros_like(p)] for p in (self.vectors, self.soft, self.bias)]
         self.steps = 0
         self.rng = rng
+        self.once = ~recurring(names, self.w.first)
 
     def bag(self, docs: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """N-grams in the bags of these texts, and how much each weighs in which."""
@@ -125,7 +137,7 @@ class _Trainer:
         word = self.word[begin[row] + place]
         inner, k = flat.spread(self.count[word])
         gram = self.gram[self.at[word][inner] + k]
-        weight = 1 / (self.count[word][inner] * (end - begin)[row][inner])
+        weight = (self.once[begin[row] + place] / (end - begin)[row])[inner] / self.count[word][inner]
         own, column = np.unique(gram, return_inverse=True)
         dense = np.bincount(row[inner] * len(own) + column, weight, len(docs) * len(own)).reshape(len(docs), len(own))
         return own, dense.astype(np.float32)
@@ -156,7 +168,9 @@ class _Trainer:
 
 
 def fit(rows: list[tuple[str, int]], rounds: int = 4) -> Model:
+    """Every fifth row stays out of training and sets the scale and the bias, with both classes weighing the same."""
     rows = [(t, y) for t, y in rows if t and t.strip()]
+    held, rows = rows[::5], [r for i, r in enumerate(rows) if i % 5]
     y = np.array([v for _, v in rows], np.int64)
     if len(np.unique(y)) < 2:
         return Model(np.zeros(1 << BUCKET_BITS), -40.0)
@@ -165,13 +179,31 @@ def fit(rows: list[tuple[str, int]], rounds: int = 4) -> Model:
     begin, end = first[:-1], first[1:]
     weight = len(y) / (2 * np.bincount(y, minlength=2))
     for k in range(rounds):
-        for epoch in range(3 if k else 6):
+        for epoch in range(4 if k else 1):
             order = trainer.rng.permutation(len(y))
             for docs in np.array_split(order, max(1, len(y) // 48)):
                 trainer.step(docs, begin[docs], end[docs], weight, 0.02 if k < rounds - 1 else 0.005)
         _, at = trainer.model().worst(trainer.w)
         begin, end = at, np.minimum(at + WINDOW, first[1:])
-    return trainer.model()
+    model = trainer.model()
+    if len({v for _, v in held}) == 2:
+        top, _ = model.worst(flat.Words(*flat.flatten(pa.array([t for t, _ in held], pa.large_string()))))
+        scale, model.bias = _balanced_logistic(top, np.array([v for _, v in held], float))
+        model.weights *= scale
+        model._keys = None
+    return model
+
+
+def _balanced_logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """Slope (above 0) and bias by Newton's method; a light penalty keeps separable data finite."""
+    weight = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
+    z, w = np.column_stack([x, np.ones(len(x))]), np.array([1.0, 0.0])
+    for _ in range(60):
+        p = 1 / (1 + np.exp(-np.clip(z @ w, -40, 40)))
+        g = z.T @ (weight * (p - y)) + 0.01 * np.array([w[0], 0.0])
+        h = (z * (weight * p * (1 - p))[:, None]).T @ z + np.diag([0.01, 1e-6])
+        w -= np.clip(np.linalg.solve(h, g), -1, 1)
+    return max(float(w[0]), 1e-3), float(w[1])
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
@@ -203,4 +235,4 @@ def reject(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
 
 
 def train(docs: DataFrame, labels: DataFrame, learn, rows: int = ROWS) -> Model:
-    return fit(labelled.sample(docs, labels, "toxic", learn, rows))
+    return fit(labelled.sample(docs, labels, "toxic", learn, rows)[0])
