@@ -99,7 +99,11 @@ def _seed_prefixes(n: int) -> list[str]:
 def minhash(items: Column, size: int = config.SIGNATURE) -> Column:
     """Least crc32 of the items for each of size seeds; of nothing, all bits set."""
     raw = F.transform(items, lambda x: F.encode(x, "utf-8"))
-    least = [F.array_min(F.transform(raw, lambda x, p=p: F.crc32(F.concat(F.unhex(F.lit(p)), x)))) for p in _seed_prefixes(size)]
+
+    def least_of(prefix: str) -> Column:
+        return F.array_min(F.transform(raw, lambda x: F.crc32(F.concat(F.unhex(F.lit(prefix)), x))))
+
+    least = [least_of(p) for p in _seed_prefixes(size)]
     return F.array(*[F.coalesce(x, F.lit(0xFFFFFFFF)).cast("bigint") for x in least])
 
 
