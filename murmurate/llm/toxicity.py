@@ -167,8 +167,8 @@ class _Trainer:
         return Model(weights, float(self.bias[1] - self.bias[0]))
 
 
-def fit(rows: list[tuple[str, int]], rounds: int = 4) -> Model:
-    """Every fifth row stays out of training and sets the scale and the bias, with both classes weighing the same."""
+def fit(rows: list[tuple[str, int]], totals: dict[int, int] | None = None, rounds: int = 4) -> Model:
+    """Every fifth row stays out of training and sets the scale and the bias, each class weighing what it has in all (totals)."""
     rows = [(t, y) for t, y in rows if t and t.strip()]
     held, rows = rows[::5], [r for i, r in enumerate(rows) if i % 5]
     y = np.array([v for _, v in rows], np.int64)
@@ -188,15 +188,16 @@ def fit(rows: list[tuple[str, int]], rounds: int = 4) -> Model:
     model = trainer.model()
     if len({v for _, v in held}) == 2:
         top, _ = model.worst(flat.Words(*flat.flatten(pa.array([t for t, _ in held], pa.large_string()))))
-        scale, model.bias = _balanced_logistic(top, np.array([v for _, v in held], float))
+        y = np.array([v for _, v in held])
+        share = np.array([(totals or {}).get(v, (y == v).sum()) / (y == v).sum() for v in (0, 1)], float)
+        scale, model.bias = _logistic(top, y.astype(float), share[y] / share[y].mean())
         model.weights *= scale
         model._keys = None
     return model
 
 
-def _balanced_logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
     """Slope (above 0) and bias by Newton's method; a light penalty keeps separable data finite."""
-    weight = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
     z, w = np.column_stack([x, np.ones(len(x))]), np.array([1.0, 0.0])
     for _ in range(60):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -40, 40)))
@@ -235,4 +236,4 @@ def reject(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
 
 
 def train(docs: DataFrame, labels: DataFrame, learn, rows: int = ROWS) -> Model:
-    return fit(labelled.sample(docs, labels, "toxic", learn, rows)[0])
+    return fit(*labelled.sample(docs, labels, "toxic", learn, rows))
