@@ -109,27 +109,43 @@ class Model:
 
 
 class _Trainer:
-    """Adam on mini-batches of bags; only n-grams that occur are held."""
+    """Adam on mini-batches of bags."""
 
     def __init__(self, texts: list[str], labels: np.ndarray):
         self.y = labels
-        data, offs = flat.flatten(pa.array(texts, pa.large_string()))
-        self.w = flat.Words(data, offs)
-        names = self.w.names(lower=True)
+        self.data, self.offs = flat.flatten(pa.array(texts, pa.large_string()))
+        start, end, names, first = [], [], [], [np.zeros(1, np.int64)]
+        for a, w in self._parts():
+            start.append(w.start + self.offs[a])
+            end.append(w.end + self.offs[a])
+            names.append(w.names(lower=True))
+            first.append(first[-1][-1] + w.first[1:])
+        start, end, names, self.first = (np.concatenate(x) for x in (start, end, names, first))
         _, one, self.word = np.unique(names, return_index=True, return_inverse=True)
-        buckets, owner = ngrams(data, self.w.start[one], self.w.end[one])
-        self.used, self.gram = np.unique(buckets, return_inverse=True)
-        count = np.bincount(owner, minlength=len(one))
-        self.at = np.append(0, np.cumsum(count))
-        self.count = count
+        grams, counts = [], []
+        for own in np.array_split(one, max(1, len(one) // 20_000)):  # a part of the distinct words at a time
+            buckets, owner = ngrams(self.data, start[own], end[own])
+            grams.append(buckets.astype(np.int32))
+            counts.append(np.bincount(owner, minlength=len(own)).astype(np.int32))
+        self.gram, self.count = np.concatenate(grams), np.concatenate(counts)
+        self.at = np.append(0, np.cumsum(self.count, dtype=np.int64))
         rng = np.random.default_rng(7)
-        self.vectors = rng.normal(0, 0.1, (len(self.used), SIZE)).astype(np.float32)
+        self.vectors = rng.normal(0, 0.1, (1 << BUCKET_BITS, SIZE)).astype(np.float32)
         self.soft = rng.normal(0, 0.3, (SIZE, 2)).astype(np.float32)
         self.bias = np.zeros(2, np.float32)
         self.moments = [[np.zeros_like(p), np.zeros_like(p)] for p in (self.vectors, self.soft, self.bias)]
         self.steps = 0
         self.rng = rng
-        self.once = ~recurring(names, self.w.first)
+        self.once = ~recurring(names, self.first)
+
+    def _parts(self):
+        """First text and words of a part of the texts at a time."""
+        for a, b in flat.chunks(self.offs):
+            yield a, flat.Words(self.data[self.offs[a] : self.offs[b]], self.offs[a : b + 1] - self.offs[a])
+
+    def worst(self, model: Model) -> np.ndarray:
+        """The first word of each text's worst window."""
+        return np.concatenate([model.worst(w)[1] + self.first[a] for a, w in self._parts()])
 
     def bag(self, docs: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """N-grams in the bags of these texts, and how much each weighs in which."""
@@ -161,10 +177,10 @@ class _Trainer:
             param[at] -= rate * (m[at] / (1 - 0.9**self.steps)) / (np.sqrt(v[at] / (1 - 0.99**self.steps)) + 1e-8)
 
     def model(self) -> Model:
-        weights = np.zeros(1 << BUCKET_BITS)
         way = (self.soft[:, 1] - self.soft[:, 0]).astype(np.float64)
-        weights[self.used] = self.vectors.astype(np.float64) @ way
-        return Model(weights, float(self.bias[1] - self.bias[0]))
+        seen = np.zeros(1 << BUCKET_BITS, bool)
+        seen[self.gram] = True  # vectors that were never trained say nothing
+        return Model(np.where(seen, self.vectors.astype(np.float64) @ way, 0.0), float(self.bias[1] - self.bias[0]))
 
 
 def fit(rows: list[tuple[str, int]], totals: dict[int, int] | None = None, rounds: int = 4) -> Model:
@@ -175,19 +191,20 @@ def fit(rows: list[tuple[str, int]], totals: dict[int, int] | None = None, round
     if len(np.unique(y)) < 2:
         return Model(np.zeros(1 << BUCKET_BITS), -40.0)
     trainer = _Trainer([t for t, _ in rows], y)
-    first = trainer.w.first
+    first = trainer.first
     begin, end = first[:-1], first[1:]
     weight = len(y) / (2 * np.bincount(y, minlength=2))
     for k in range(rounds):
         for epoch in range(4 if k else 1):
             order = trainer.rng.permutation(len(y))
-            for docs in np.array_split(order, max(1, len(y) // 48)):
+            for docs in np.array_split(order, max(1, len(y) // (48 if k else 16))):
                 trainer.step(docs, begin[docs], end[docs], weight, 0.02 if k < rounds - 1 else 0.005)
-        _, at = trainer.model().worst(trainer.w)
+        at = trainer.worst(trainer.model())
         begin, end = at, np.minimum(at + WINDOW, first[1:])
     model = trainer.model()
     if len({v for _, v in held}) == 2:
-        top, _ = model.worst(flat.Words(*flat.flatten(pa.array([t for t, _ in held], pa.large_string()))))
+        data, offs = flat.flatten(pa.array([t for t, _ in held], pa.large_string()))
+        top = np.concatenate([model.worst(flat.Words(data[offs[a] : offs[b]], offs[a : b + 1] - offs[a]))[0] for a, b in flat.chunks(offs)])
         y = np.array([v for _, v in held])
         share = np.array([(totals or {}).get(v, (y == v).sum()) / (y == v).sum() for v in (0, 1)], float)
         scale, model.bias = _logistic(top, y.astype(float), share[y] / share[y].mean())
