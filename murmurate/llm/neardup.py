@@ -9,8 +9,8 @@ below the threshold are left there, all others are verified on their full sets.
 
 Documents with equal sets become one node first. Within a bucket nodes are linked to pivots, so no pairs are made of a
 large group; what stays in several components is tried against new pivots, and in the end all pairs of a bucket
-that are still in different components are tried (in buckets of many nodes: those that share a second band as
-well), so no link that decides a component is lost.
+that are still in different components are tried (of buckets with many nodes: those that agree on more registers at
+once), so no link that decides a component is lost but for those chances.
 
 Null, empty and blank texts have an empty set and link with nothing. Rows with a null doc_id link with nothing and are
 kept. Rows that repeat a doc_id are one document. An empty table gives no rows.
@@ -33,8 +33,10 @@ M = BANDS * ROWS
 B, RATE = 1.02, 20.0
 #: How far below the threshold an estimate may be (5 standard deviations and more) for a pair to be verified.
 MARGIN = 0.16
-#: Rounds of pivots, and the nodes of a bucket from which a second band is asked for.
-ROUNDS, LARGE = 3, 40
+#: Rounds of pivots; the nodes up to which all pairs of a bucket are tried; beyond, how many sets of how many registers
+#: make narrower buckets: a link with J >= 0.8 misses all of them with a probability of 1e-4, with J >= 0.85 of 1e-8.
+ROUNDS, LARGE = 3, 16
+SUBSETS, WIDE = 128, 12
 _MULT = flat.mix(np.arange(1000, 1000 + M, dtype=np.uint64)) | np.uint64(1)
 _FLIP = flat.mix(np.arange(5000, 5000 + M, dtype=np.uint64))
 
@@ -184,7 +186,9 @@ def groups(docs: DataFrame, percent: int = 80) -> DataFrame:
     again = of_doc.groupBy("doc_id").agg(F.min("node").alias("b"), F.collect_set("node").alias("all")).where(F.size("all") > 1).select(F.explode("all").alias("a"), "b")
     rows = bands(nodes)
     shared = rows.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("members")).where("lo < hi")
-    members = store.keep(rows.join(shared.select("bucket", "members"), "bucket"), "buckets")
+    members = rows.join(shared.select("bucket", "members"), "bucket")
+    weights = members.groupBy("node").agg(F.sum("members").alias("weight"))
+    members = store.keep(members.join(weights, "node"), "buckets")
     needed = members.select("node").distinct()
     texts = store.keep(_packed(docs).join(needed, "node").groupBy("node").agg(F.first("packed").alias("packed")), "candidate-texts")
 
@@ -206,7 +210,7 @@ def groups(docs: DataFrame, percent: int = 80) -> DataFrame:
             tried = labelled.join(open_, "bucket").select(F.col("node").alias("a"), F.col("n").alias("na"), "root", F.explode("pivots").alias("p"))
             pairs = tried.where("root != p.root").select("a", "na", F.col("p.node").alias("b"), F.col("p.n").alias("nb"))
         else:
-            pairs = _rest(labelled.join(open_.select("bucket"), "bucket"))
+            pairs = _rest(labelled.join(open_.select("bucket"), "bucket"), nodes)
         new = store.keep(links(pairs), "links")
         star = components.stars(star.unionByName(new))
     root = of_doc.groupBy("doc_id").agg(F.min("node").alias("node")).join(star.select(F.col("a").alias("node"), F.col("b").alias("root")), "node", "left").select("doc_id", F.coalesce("root", "node").alias("root"))
@@ -216,24 +220,37 @@ def groups(docs: DataFrame, percent: int = 80) -> DataFrame:
 
 
 def _pivots(round_: int) -> list:
-    """A few nodes of a bucket that a hash picks, other ones each round."""
+    """Two nodes of a bucket: the one whose buckets hold the most nodes (what others are copies of), and one that a hash picks."""
     one = F.struct("node", "n", "root")
-    picked = [F.min_by(one, F.col("node") if k + round_ == 0 else F.xxhash64("node", F.lit(2 * round_ + k))) for k in range(2)]
-    return [F.array(*picked).alias("pivots")]
-
-
-def _rest(members: DataFrame) -> DataFrame:
-    """Pairs of different components in a bucket; of a bucket with many nodes, those that share a further one of theirs."""
-    small = members.where(F.col("members") <= LARGE).select("bucket", F.lit(0).cast("bigint").alias("second"), "node", "n", "root")
-    large = members.where(F.col("members") > LARGE).select("bucket", "node", "n", "root")
-    second = large.select(F.col("bucket").alias("second"), "node")
-    large = large.join(second, "node").where("second != bucket").select("bucket", "second", "node", "n", "root").where("bucket < second")
-    keyed = small.unionByName(large)
-    several = keyed.groupBy("bucket", "second").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("bucket", "second")
-    keyed = keyed.join(several, ["bucket", "second"])
-    a = keyed.select("bucket", "second", F.col("node").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"))
-    b = keyed.select("bucket", "second", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
-    return a.join(b, ["bucket", "second"]).where("a < b and ra != rb").select("a", "na", "b", "nb")
+    central = F.max_by(one, F.struct(F.when(F.lit(round_ == 0), F.col("weight")).otherwise(F.pmod(F.xxhash64("node", F.lit(round_)), F.col("weight"))), "node"))
+    return [F.array(central, F.min_by(one, F.xxhash64("node", F.lit(-round_)))).alias("pivots")]
+
+
+def _rest(members: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Pairs of different components: all of a bucket with few nodes; of others, those that share one of SUBSETS sets of WIDE registers."""
+    small = members.where(F.col("members") <= LARGE).select("bucket", "node", "n", "root")
+    large = members.where(F.col("members") > LARGE).select("node", "root").distinct()
+
+    def run(batches):
+        picks = np.random.default_rng(11).permuted(np.tile(np.arange(M), (SUBSETS, 1)), axis=1)[:, :WIDE]
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            m = _matrix(batch.column(3)).astype(np.uint64)
+            for i, pick in enumerate(picks):
+                h = np.full(len(m), i + 1, np.uint64)
+                for j in pick:
+                    h = flat.mix(h ^ m[:, j])
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), *(batch.column(k) for k in range(3))], ["bucket", "node", "n", "root"])
+
+    schema = "bucket bigint, node bigint, n bigint, root bigint"
+    wide = large.join(nodes.select("node", "n", "registers"), "node").select("node", "n", "root", "registers").mapInArrow(run, schema)
+    keyed = store.keep(small.unionByName(wide), "rest")
+    several = keyed.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("bucket")
+    keyed = keyed.join(several, "bucket")
+    a = keyed.select("bucket", F.col("node").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"))
+    b = keyed.select("bucket", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
+    return a.join(b, "bucket").where("a < b and ra != rb").select("a", "na", "b", "nb")
 
 
 def keep_one(docs: DataFrame, percent: int = 80) -> DataFrame:
