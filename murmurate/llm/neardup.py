@@ -186,7 +186,7 @@ def groups(docs: DataFrame, percent: int = 80) -> DataFrame:
     again = of_doc.groupBy("doc_id").agg(F.min("node").alias("b"), F.collect_set("node").alias("all")).where(F.size("all") > 1).select(F.explode("all").alias("a"), "b")
     rows = bands(nodes)
     shared = rows.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("members")).where("lo < hi")
-    members = rows.join(shared.select("bucket", "members"), "bucket")
+    members = store.keep(rows.join(shared.select("bucket", "members"), "bucket"), "bands")
     weights = members.groupBy("node").agg(F.sum("members").alias("weight"))
     members = store.keep(members.join(weights, "node"), "buckets")
     needed = members.select("node").distinct()
