@@ -9,8 +9,8 @@ below the threshold are left there, all others are verified on their full sets.
 
 Documents with equal sets become one node first. Within a bucket nodes are linked to pivots, so no pairs are made of a
 large group; what stays in several components is tried against new pivots, and in the end all pairs of a bucket
-that are still in different components are tried (of buckets with many nodes: those that agree on more registers at
-once), so no link that decides a component is lost but for those chances.
+that are still in different components are tried (of buckets with many nodes block by block, on their full sets without
+an estimate), so no link that decides a component is lost but for those chances.
 
 Null, empty and blank texts have an empty set and link with nothing. Rows with a null doc_id link with nothing and are
 kept. Rows that repeat a doc_id are one document. An empty table gives no rows.
@@ -33,10 +33,11 @@ M = BANDS * ROWS
 B, RATE = 1.02, 20.0
 #: How far below the threshold an estimate may be (5 standard deviations and more) for a pair to be verified.
 MARGIN = 0.16
-#: Rounds of pivots; the nodes up to which all pairs of a bucket are tried; beyond, how many sets of how many registers
-#: make narrower buckets: a link with J >= 0.8 misses all of them with a probability of 1e-4, with J >= 0.85 of 1e-8.
+#: Rounds of pivots; the nodes up to which the pairs of an open bucket are joined; beyond, they are compared by blocks.
 ROUNDS, LARGE = 3, 16
-SUBSETS, WIDE = 128, 12
+#: Nodes and shingles of a block, about; sets of a shingle (one side times the other) up to which it is counted pair by
+#: pair; columns of a matrix of other shingles.
+BLOCK, BLOCK_SHINGLES, DENSE, COLUMNS = 1024, 1_000_000, 1000, 2048
 _MULT = flat.mix(np.arange(1000, 1000 + M, dtype=np.uint64)) | np.uint64(1)
 _FLIP = flat.mix(np.arange(5000, 5000 + M, dtype=np.uint64))
 
@@ -210,8 +211,12 @@ def groups(docs: DataFrame, percent: int = 80) -> DataFrame:
             tried = labelled.join(open_, "bucket").select(F.col("node").alias("a"), F.col("n").alias("na"), "root", F.explode("pivots").alias("p"))
             pairs = tried.where("root != p.root").select("a", "na", F.col("p.node").alias("b"), F.col("p.n").alias("nb"))
         else:
-            pairs = _rest(labelled.join(open_.select("bucket"), "bucket"), nodes)
-        new = store.keep(links(pairs), "links")
+            rest = store.keep(labelled.join(open_.select("bucket"), "bucket"), "rest")
+            pairs = _rest(rest)
+        found = links(pairs)
+        if round_ == ROUNDS:
+            found = found.unionByName(_blocks(rest.where(F.col("members") > LARGE), texts, percent))
+        new = store.keep(found, "links")
         star = components.stars(star.unionByName(new))
     root = of_doc.groupBy("doc_id").agg(F.min("node").alias("node")).join(star.select(F.col("a").alias("node"), F.col("b").alias("root")), "node", "left").select("doc_id", F.coalesce("root", "node").alias("root"))
     out = sk.select("doc_id", "n_shingles").join(root, "doc_id", "left")
@@ -226,33 +231,105 @@ def _pivots(round_: int) -> list:
     return [F.array(central, F.min_by(one, F.xxhash64("node", F.lit(-round_)))).alias("pivots")]
 
 
-def _rest(members: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Pairs of different components: all of a bucket with few nodes; of others, those that share one of SUBSETS sets of WIDE registers."""
-    small = members.where(F.col("members") <= LARGE).select("bucket", "node", "n", "root")
-    large = members.where(F.col("members") > LARGE).select("node", "root").distinct()
-
-    def run(batches):
-        picks = np.random.default_rng(11).permuted(np.tile(np.arange(M), (SUBSETS, 1)), axis=1)[:, :WIDE]
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            m = _matrix(batch.column(3)).astype(np.uint64)
-            for i, pick in enumerate(picks):
-                h = np.full(len(m), i + 1, np.uint64)
-                for j in pick:
-                    h = flat.mix(h ^ m[:, j])
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), *(batch.column(k) for k in range(3))], ["bucket", "node", "n", "root"])
-
-    schema = "bucket bigint, node bigint, n bigint, root bigint"
-    wide = large.join(nodes.select("node", "n", "registers"), "node").select("node", "n", "root", "registers").mapInArrow(run, schema)
-    keyed = store.keep(small.unionByName(wide), "rest")
-    several = keyed.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("bucket")
-    keyed = keyed.join(several, "bucket")
-    a = keyed.select("bucket", F.col("node").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"))
-    b = keyed.select("bucket", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
+def _rest(members: DataFrame) -> DataFrame:
+    """All pairs of different components in the buckets with few nodes."""
+    small = members.where(F.col("members") <= LARGE)
+    a = small.select("bucket", F.col("node").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"))
+    b = small.select("bucket", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
     return a.join(b, "bucket").where("a < b and ra != rb").select("a", "na", "b", "nb")
 
 
+def _intersections(row: np.ndarray, key: np.ndarray, other: np.ndarray, key2: np.ndarray, shape: tuple[int, int]) -> np.ndarray:
+    """How many keys each of the sets (row, key) has in common with each of (other, key2)."""
+    out = np.zeros(shape[0] * shape[1], np.int64)
+    both = np.intersect1d(key, key2)
+    sides = []
+    for r, k in ((row, key), (other, key2)):
+        at = np.minimum(np.searchsorted(both, k), max(len(both) - 1, 0))
+        own = np.flatnonzero(both[at] == k) if len(both) else np.zeros(0, np.int64)
+        own = own[np.argsort(at[own], kind="stable")]
+        sides.append((r[own], at[own]))
+    (r, k), (r2, k2) = sides
+    n, n2 = np.bincount(k, minlength=len(both)), np.bincount(k2, minlength=len(both))
+    first, first2 = np.append(0, np.cumsum(n)), np.append(0, np.cumsum(n2))
+    rare = n * n2 <= DENSE
+    own = np.flatnonzero(rare[k])  # keys of few sets: pair by pair
+    ends = np.append(0, np.cumsum(n2[k[own]]))
+    for a, b in flat.chunks(ends, 4_000_000):
+        i, j = flat.spread(n2[k[own[a:b]]])
+        i = own[a:b][i]
+        out += np.bincount(r[i] * shape[1] + r2[first2[k[i]] + j], minlength=len(out))
+    out = out.reshape(shape)
+    common = np.flatnonzero(~rare)
+    for a in range(0, len(common), COLUMNS):  # of many: products of 0/1 matrices
+        now = common[a : a + COLUMNS]
+        left, right = np.zeros((shape[0], len(now)), np.float32), np.zeros((shape[1], len(now)), np.float32)
+        for m, rows, start, size in ((left, r, first, n), (right, r2, first2, n2)):
+            i, j = flat.spread(size[now])
+            m[rows[start[now[i]] + j], i] = 1
+        out += (left @ right.T).astype(np.int64)
+    return out
+
+
+def _blocks(members: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between different components within buckets: all pairs are compared on their full sets, and of the
+    links within a pair of blocks those that join components are returned. The largest component of a bucket isn't compared with itself."""
+    parts = members.groupBy("bucket", "root").agg(F.count("*").alias("m"), F.sum("n").alias("s"))
+    most = parts.groupBy("bucket").agg(F.max_by(F.struct("root", "m", "s"), F.struct("m", "root")).alias("main"), F.sum("m").alias("m"), F.sum("s").alias("s"))
+    count = lambda m, s: F.greatest(F.ceil(m / BLOCK), F.ceil(s / BLOCK_SHINGLES), F.lit(1)).cast("int")
+    cut = most.select("bucket", F.col("main.root").alias("main"), count(F.col("m") - F.col("main.m"), F.col("s") - F.col("main.s")).alias("open"), count(F.col("main.m"), F.col("main.s")).alias("closed"))
+    rows = members.select("bucket", "node", "root").join(cut, "bucket")
+    h, is_open = F.xxhash64("node", F.lit(7)), F.col("root") != F.col("main")
+    rows = rows.withColumn("block", F.when(is_open, F.pmod(h, F.col("open"))).otherwise(F.col("open") + F.pmod(h, F.col("closed"))).cast("int"))
+    with_ = F.explode(F.when(is_open, F.sequence(F.lit(0), F.col("open") + F.col("closed") - 1)).otherwise(F.sequence(F.lit(0), F.col("open") - 1)))
+    tasks = rows.select("bucket", "node", "root", "block", with_.alias("with")).select("bucket", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "node", "root", "block")
+
+    def run(key, table):
+        i, j = key[1].as_py(), key[2].as_py()
+        codec = zstandard.ZstdDecompressor()
+        block, node, root = (table.column(c).to_numpy() for c in ("block", "node", "root"))
+        packed = table.column("packed").combine_chunks()
+        sides = []
+        for side in (i, j) if i != j else (i,):
+            own = np.flatnonzero(block == side)
+            doc, key_, n, at = [], [], [], 0
+            raw, size = [], 0
+            for k, x in enumerate(own.tolist()):
+                raw.append(codec.decompress(packed[x].as_buffer().to_pybytes()))
+                size += len(raw[-1])
+                if size >= flat.CHUNK or k == len(own) - 1:
+                    d, v = shingles(np.frombuffer(b"".join(raw), np.uint8), np.append(0, np.cumsum([len(t) for t in raw])))
+                    n.append(np.bincount(d, minlength=len(raw)))
+                    doc.append(d + at)
+                    key_.append(v)
+                    at, raw, size = k + 1, [], 0
+            if not len(own):
+                return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+            sides.append((own, np.concatenate(doc), np.concatenate(key_), np.concatenate(n)))
+        (own, doc, k, n), (own2, doc2, k2, n2) = sides[0], sides[-1]
+        both = _intersections(doc, k, doc2, k2, (len(own), len(own2)))
+        linked = (both > 0) & (100 * both >= percent * (n[:, None] + n2[None, :] - both)) & (root[own][:, None] != root[own2][None, :])
+        x, y = np.nonzero(linked)
+        names, back = np.unique(root, return_inverse=True)
+        _, one = np.unique(back[own[x]] * len(names) + back[own2[y]], return_index=True)
+        of, out = list(range(len(names))), []
+
+        def top(v: int) -> int:
+            while of[v] != v:
+                of[v] = of[of[v]]
+                v = of[v]
+            return v
+
+        for p, q in zip(own[x[one]].tolist(), own2[y[one]].tolist()):
+            u, v = top(back[p]), top(back[q])
+            if u != v:
+                of[u] = v
+                out.append((node[p], node[q]))
+        return pa.table({c: pa.array([int(o[m]) for o in out], pa.int64()) for m, c in enumerate("ab")})
+
+    return tasks.join(texts, "node").groupBy("bucket", "i", "j").applyInArrow(run, "a bigint, b bigint")
+
+
 def keep_one(docs: DataFrame, percent: int = 80) -> DataFrame:
     """The rows of docs whose doc_id is the smallest of its group, with their own columns; rows that repeat that doc_id and rows without one stay."""
     names = docs.columns

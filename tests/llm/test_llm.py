@@ -147,6 +147,23 @@ def test_neardup(spark):
     assert [(got[i].n_shingles, got[i].component_id, got[i].kept) for i in range(len(texts))] == [(len(s), root[i], root[i] == i) for i, s in enumerate(sets)]
 
 
+def test_neardup_large_open_bucket(spark):
+    core, texts = " ".join(f"c21y{i}" for i in range(201)), []  # of these names, 5 pairs share none of 128 keys of 12 registers
+    for k in range(300):  # 150 pairs of J = 200 / 250; all others 197 / 253
+        texts.append(" ".join([core, *(f"p{k // 2}x{i}" for i in range(3)), *(f"o{k}x{i}" for i in range(25))]))
+    got = {r.doc_id: r.component_id for r in neardup.groups(docs(spark, texts), 80).collect()}
+    assert [got[k] for k in range(300)] == [k // 2 * 2 for k in range(300)]
+
+
+def test_intersections():
+    rng = np.random.default_rng(7)
+    for dense in (1, 5):
+        sets = [[np.unique(rng.integers(0, 4000 // dense**4, 40).astype(np.uint64)) for _ in range(n)] for n in (50, 70)]
+        (r, k), (r2, k2) = ((np.repeat(np.arange(len(x)), [len(y) for y in x]), np.concatenate(x)) for x in sets)
+        got = neardup._intersections(r, k, r2, k2, (50, 70))
+        assert got.tolist() == [[len(np.intersect1d(a, b)) for b in sets[1]] for a in sets[0]]
+
+
 def test_estimate():
     rng = np.random.default_rng(4)
     for j in (0.3, 0.85):
