@@ -3,9 +3,10 @@
 Words are runs of letters and digits, in small letters; everything of ASCII else separates them. A window of SPAN
 words has one hash for each mask, over the positions that the mask keeps, so a replaced word spoils only the hashes
 that look at it. Hits between a text and an item say on which diagonal (place in the text less place in the item)
-to look; there the two are compared word by word, and the best stretch (1 for each equal word, -PENALTY else) counts as
-an overlap if it has LEAST equal words, or all words of a shorter item of SHORTEST words at least (the first mask
-spans no more).
+to look; there the two are compared word by word. They overlap if the best stretch (1 for each equal word, -PENALTY
+else) has LEAST equal words, or if SHARE percent of all the item's words are equal on the diagonal (of an item of fewer
+than SHORTEST words: all). Items of up to SHORT words are cut into one piece more than words may differ, and the pieces
+are looked for too: one of them is always whole, so of these items no such overlap is missed.
 
 While the items' hashes are few (MAX_HELD, counted first) each task holds them, and training text is not shuffled.
 Beyond that the hashes of both sides are joined by value: only hits, not texts, meet hashes; a second join by
@@ -28,7 +29,7 @@ from . import flat, store
 SPAN = 9
 #: Positions that each mask keeps; two replaced words leave a mask of some window untouched where they are not at its places.
 MASKS = [(0, 1, 2, 3, 4, 5), (0, 1, 3, 4, 6, 7), (0, 2, 3, 5, 6, 8), (0, 1, 4, 5, 7, 8)]
-LEAST, SHORTEST, PENALTY = 12, 6, 2
+LEAST, SHORTEST, PENALTY, SHARE, SHORT = 12, 6, 2, 70, 18
 #: Hashes of benchmark items that each task holds at most.
 MAX_HELD = 4_000_000
 
@@ -36,6 +37,19 @@ _SPLIT = flat.SPACE | (np.arange(256) < 128) & ~np.isin(np.arange(256), [*range(
 _FOUND = "doc_id bigint, item_id bigint, start_word bigint, end_word bigint, n_equal bigint, n_item_words bigint"
 
 
+def _need(n: int) -> int:
+    """Equal words on a diagonal that make an overlap with an item of n words."""
+    return n if n < SHORTEST else -(-n * SHARE // 100)
+
+
+def _pieces(n: int) -> list[tuple[int, int]]:
+    """Place and length of the pieces of an item of n words; none of a long one."""
+    if not 0 < n <= SHORT:
+        return []
+    cuts = np.linspace(0, n, n - _need(n) + 2).astype(int).tolist()
+    return [(a, b - a) for a, b in zip(cuts, cuts[1:])]
+
+
 class _Text:
     """Names of the words of texts in a row, and first word of each."""
 
@@ -46,10 +60,10 @@ class _Text:
         w = flat.Words(data, self.offs)
         self.names, self.first = w.names(), w.first
 
-    def hashes(self) -> list[tuple[np.ndarray, np.ndarray]]:
-        """For each mask: first word of windows, and hash."""
-        n, out = len(self.names), []
-        for k, mask in enumerate(MASKS):
+    def hashes(self, lengths=()) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each mask, and each length of pieces: first word of windows, and hash."""
+        out = []
+        for k, mask in [*enumerate(MASKS), *((100 + m, range(m)) for m in lengths)]:
             span = mask[-1] + 1
             own = np.flatnonzero(flat.gram_mask(self.first, span))
             h = np.full(len(own), np.uint64(k * 0x9E3779B9 + 1), np.uint64)
@@ -58,6 +72,19 @@ class _Text:
             out.append((own, flat.mix(h)))
         return out
 
+    def pieces(self) -> list[tuple[int, np.ndarray, np.ndarray]]:
+        """Of these items: length of pieces, their first words, and hash."""
+        at: dict[int, list[int]] = {}
+        for first, n in zip(self.first[:-1].tolist(), np.diff(self.first).tolist()):
+            for place, m in _pieces(n):
+                at.setdefault(m, []).append(first + place)
+        out = []
+        for m, starts in sorted(at.items()):
+            own, h = self.hashes([m])[-1]
+            mine = np.isin(own, starts)
+            out.append((m, own[mine], h[mine]))
+        return out
+
 
 def _best(equal: np.ndarray) -> tuple[int, int, int]:
     """The stretch with the largest sum of 1 for equal and -PENALTY for other words: begin, end, equal words."""
@@ -74,9 +101,13 @@ def _verify(doc: np.ndarray, item: np.ndarray, diagonal: int) -> tuple[int, int,
     a, b = max(0, -diagonal), min(len(item), len(doc) - diagonal)
     if b <= a:
         return None
-    begin, end, n = _best(doc[a + diagonal : b + diagonal] == item[a:b])
-    if n >= min(LEAST, max(len(item), SHORTEST)):
+    equal = doc[a + diagonal : b + diagonal] == item[a:b]
+    begin, end, n = _best(equal)
+    if n >= LEAST:
         return a + diagonal + begin, a + diagonal + end, n
+    same = np.flatnonzero(equal)
+    if len(same) >= _need(len(item)):
+        return a + diagonal + int(same[0]), a + diagonal + int(same[-1]) + 1, len(same)
     return None
 
 
@@ -87,13 +118,21 @@ class _Items:
         t = _Text(pa.array(texts, pa.large_string()))
         self.ids, self.words = ids, np.split(t.names, t.first[1:-1]) if texts else []
         item, place, value = [], [], []
-        for own, h in t.hashes():
+        pieces = t.pieces()
+        self.lengths = [m for m, _, _ in pieces]
+        for own, h in [*t.hashes(), *(x[1:] for x in pieces)]:
             item.append(np.searchsorted(t.first, own, "right") - 1)
             place.append(own - t.first[item[-1]])
             value.append(h)
         value = np.concatenate(value)
         order = np.argsort(value, kind="stable")
         self.value, self.item, self.place = value[order], np.concatenate(item)[order], np.concatenate(place)[order]
+        sizes = np.diff(t.first)
+        self.size = np.minimum(sizes, SHORT + 1)
+        self.need = np.array([min(LEAST, _need(n)) if n <= SHORT else 0 for n in sizes.tolist()], np.int64)
+        row, k = flat.spread(np.where(sizes <= SHORT, sizes, 0))
+        self.short = np.zeros((len(sizes), SHORT), np.uint64)
+        self.short[row, k] = t.names[t.first[row] + k]
         self.bits = 22
         self.maybe = np.zeros(1 << self.bits, bool)
         self.maybe[self._slot(self.value)] = True
@@ -101,11 +140,24 @@ class _Items:
     def _slot(self, h: np.ndarray) -> np.ndarray:
         return (h >> np.uint64(64 - self.bits)).astype(np.int64)
 
+    def _enough(self, t: _Text, doc: np.ndarray, item: np.ndarray, diagonal: np.ndarray) -> np.ndarray:
+        """Which hits can be overlaps: those with short items by their equal words, all others."""
+        out = self.size[item] > SHORT
+        own = np.flatnonzero(~out)
+        for a in range(0, len(own), 100_000):
+            x = own[a : a + 100_000]
+            k = np.arange(SHORT)[None, :]
+            at = (t.first[doc[x]] + diagonal[x])[:, None] + k
+            inside = (at >= t.first[doc[x]][:, None]) & (at < t.first[doc[x] + 1][:, None]) & (k < self.size[item[x]][:, None])
+            same = inside & (t.names[np.clip(at, 0, len(t.names) - 1)] == self.short[item[x]])
+            out[x] = same.sum(1) >= self.need[item[x]]
+        return out
+
     def find(self, column: pa.Array) -> list[tuple[int, int, int, int, int]]:
         """(row, item, first word, end word, equal words) of all overlaps, the longest for each row and item."""
         t = _Text(column)
         tried = set()
-        for own, h in t.hashes():
+        for own, h in t.hashes(self.lengths):
             may = self.maybe[self._slot(h)]
             own, h = own[may], h[may]
             lo, hi = np.searchsorted(self.value, h, "left"), np.searchsorted(self.value, h, "right")
@@ -115,7 +167,9 @@ class _Items:
             entry = lo[row] + k
             doc = np.searchsorted(t.first, own[row], "right") - 1
             diagonal = own[row] - t.first[doc] - self.place[entry]
-            tried.update(zip(doc.tolist(), self.item[entry].tolist(), diagonal.tolist()))
+            item = self.item[entry]
+            may = self._enough(t, doc, item, diagonal)
+            tried.update(zip(doc[may].tolist(), item[may].tolist(), diagonal[may].tolist()))
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
         for doc, item, diagonal in sorted(tried):
             got = _verify(t.names[t.first[doc] : t.first[doc + 1]], self.words[item], diagonal)
@@ -128,8 +182,8 @@ def _ids(df: DataFrame, key: str) -> DataFrame:
     return df.select(F.col(key).cast("bigint").alias("id"), "text")
 
 
-def _hash_rows(df: DataFrame) -> DataFrame:
-    """id, place and value of every hash."""
+def _hash_rows(df: DataFrame, lengths: list[int] | None = None) -> DataFrame:
+    """id, place and value of every hash: with lengths those of texts, with None those of items."""
 
     def run(batches):
         for batch in batches:
@@ -137,19 +191,31 @@ def _hash_rows(df: DataFrame) -> DataFrame:
             for a, b in flat.chunks(offs):
                 t = _Text(batch.column(1).slice(a, b - a))
                 ids = batch.column(0).slice(a, b - a)
-                for own, h in t.hashes():
+                hashes = t.hashes(lengths) if lengths is not None else [*t.hashes(), *(x[1:] for x in t.pieces())]
+                for own, h in hashes:
                     row = np.searchsorted(t.first, own, "right") - 1
                     yield pa.RecordBatch.from_arrays([ids.take(pa.array(row)), pa.array(own - t.first[row]), pa.array(h.view(np.int64))], ["id", "place", "value"])
 
     return df.mapInArrow(run, "id bigint, place bigint, value bigint")
 
 
+def _lengths(items: DataFrame) -> list[int]:
+    """Lengths of the pieces of all items, SHORT different ones at most."""
+
+    def run(batches):
+        for batch in batches:
+            found = {m for n in set(np.diff(_Text(batch.column(0)).first).tolist()) for _, m in _pieces(n)}
+            yield pa.RecordBatch.from_arrays([pa.array(sorted(found), pa.int32())], ["m"])
+
+    return sorted(r.m for r in items.select("text").mapInArrow(run, "m int").distinct().collect())
+
+
 def overlaps(docs: DataFrame, benchmark: DataFrame, max_held: int = MAX_HELD) -> DataFrame:
     """doc_id, item_id, start_word, end_word, n_equal, n_item_words: the longest overlap of each row and item."""
     docs, items = _ids(docs, "doc_id"), _ids(benchmark, "item_id").where(F.col("id").isNotNull() & F.col("text").isNotNull()).dropDuplicates()
     words = F.size(F.split("text", r"[^\p{L}\p{N}]+"))
     size = items.select(F.sum(words.cast("bigint")).alias("n")).first().n or 0
-    if size * len(MASKS) > max_held:
+    if size * (len(MASKS) + 1) > max_held:  # pieces are one hash for each word at most
         return _joined(docs, items)
     rows = items.orderBy("id").collect()  # max_held hashes at most
     held = docs.sparkSession.sparkContext.broadcast(_Items([r.id for r in rows], [r.text for r in rows]))
@@ -170,7 +236,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, max_held: int = MAX_HELD) ->
 
 def _joined(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The same for a benchmark of any size: hashes are joined by value, then hits with texts by id."""
-    left, right = _hash_rows(docs), _hash_rows(items).select(F.col("id").alias("item_id"), F.col("place").alias("at"), "value")
+    left, right = _hash_rows(docs, _lengths(items)), _hash_rows(items).select(F.col("id").alias("item_id"), F.col("place").alias("at"), "value")
     hits = left.join(right, "value").groupBy("id", "item_id", (F.col("place") - F.col("at")).alias("diagonal")).agg(F.count("*").alias("n"))
     by_pair = store.keep(hits.groupBy("id", "item_id").agg(F.sort_array(F.collect_set("diagonal")).alias("diagonals")), "hits")
     pairs = by_pair.join(items.select(F.col("id").alias("item_id"), F.col("text").alias("item")), "item_id").join(docs, "id")

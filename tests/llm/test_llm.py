@@ -193,6 +193,26 @@ def test_decontaminate(spark, held):
     assert sorted(r.doc_id for r in decontaminate.clean(docs(spark, texts), bench, held).collect()) == [2, 3, 4]
 
 
+@pytest.mark.parametrize("held", [decontaminate.MAX_HELD, 0])
+def test_decontaminate_short_items(spark, held):
+    rng = random.Random(12)
+    items = [[f"i{n}w{k}" for k in range(n)] for n in range(1, 19)]
+    texts, want = [], set()
+    for n, item in enumerate(items, 1):
+        for gone in range(4):
+            for _ in range(4):
+                hit = list(item)
+                for k in rng.sample(range(n), min(gone, n)):
+                    hit[k] = "changed"
+                if n - gone >= (n if n < 6 else 0.7 * n):
+                    want.add((len(texts), n))
+                texts.append(" ".join(["before", *hit, "after"]))
+    bench = spark.createDataFrame([(n, " ".join(x)) for n, x in enumerate(items, 1)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r for r in decontaminate.overlaps(docs(spark, texts), bench, held).collect()}
+    assert set(got) == want
+    assert all(got[d, n].n_equal == sum(w.startswith("i") for w in texts[d].split(" ")) for d, n in want if n < 12)
+
+
 def test_backoff(spark):
     rng = random.Random(6)
     texts = [" ".join(rng.choice(WORDS[:20]) for _ in range(rng.randrange(0, 30))) for _ in range(40)] + [None]
