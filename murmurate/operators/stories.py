@@ -95,22 +95,38 @@ def chain(clusters: DataFrame, bucket: int) -> DataFrame:
     return clusters.groupBy("mode").applyInPandas(run, "mode string, key string, terms array<string>, first_bucket bigint, last_bucket bigint, buckets bigint, hits bigint, zscore double, recurrence double, recurs_from string")
 
 
-def banded(posts: DataFrame) -> DataFrame:
-    """posts: id, rank, sig. A row for each band."""
+def banded(posts: DataFrame, keys: list[str]) -> DataFrame:
+    """posts: keys, id, rank, sig. A row for each band, with the signature's name."""
     rows = config.SIGNATURE // config.BANDS
     parts = F.array(*[F.xxhash64(F.lit(b), *[F.col("sig")[b * rows + k] for k in range(rows)]) for b in range(config.BANDS)])
-    return posts.select("id", "rank", "sig", F.explode(parts).alias("band"))
-
-
-def nearest(posts: DataFrame) -> DataFrame:
-    """id, rank, sim: the most similar earlier post that shares a band, else 0."""
-    b = banded(posts)
-    later = b.select("band", F.col("id"), F.col("rank"), "sig").join(b.select("band", F.col("rank").alias("r0"), F.col("sig").alias("s0")), "band").where("r0 < rank")
-    best = later.groupBy("id", "rank").agg(F.max(T.similarity(F.col("sig"), F.col("s0"))).alias("sim"))
-    return posts.select("id", "rank").join(best, ["id", "rank"], "left").select("id", "rank", F.coalesce("sim", F.lit(0.0)).alias("sim"))
-
-
-def first_story(posts: DataFrame, below: float = config.NOVELTY_BELOW) -> DataFrame:
-    """The earliest post that resembles nothing before it, and how new it is."""
-    hit = nearest(posts).where(F.col("sim") < below).orderBy("rank").limit(1)
-    return hit.select("id", F.bround(1 - F.col("sim"), 3).alias("novelty"))
+    return posts.select(*keys, "id", "rank", F.xxhash64("sig").alias("name"), F.explode(parts).alias("band"))
+
+
+def nearest(posts: DataFrame, background: DataFrame | None = None, keys: tuple[str, ...] = ()) -> DataFrame:
+    """keys, id, rank, sim: the most similar post that shares a band, of the earlier ones with these keys and of the background, else 0.
+
+    background: sig, and those of the keys that it goes by."""
+    keys = list(keys)
+    b = banded(posts, keys)
+    old = b.select(*keys, "band", F.col("id").alias("i0"), F.col("rank").alias("r0"), F.col("name").alias("n0"))
+    pairs = b.join(old, [*keys, "band"]).where("r0 < rank or r0 = rank and i0 < id").select(*keys, "id", "rank", "name", "n0")
+    sigs = posts.select("sig")
+    if background is not None:
+        shared = [k for k in keys if k in background.columns]
+        before = banded(background.withColumns({"id": F.lit(0), "rank": F.lit(0)}), shared).select(*shared, "band", F.col("name").alias("n0"))
+        pairs = pairs.unionByName(b.join(before, [*shared, "band"]).select(*keys, "id", "rank", "name", "n0"))
+        sigs = sigs.unionByName(background.select("sig"))
+    sigs = sigs.distinct().withColumn("name", F.xxhash64("sig"))
+    both = pairs.distinct().join(sigs, "name").join(sigs.select(F.col("name").alias("n0"), F.col("sig").alias("s0")), "n0")
+    best = both.groupBy(*keys, "id", "rank").agg(F.max(T.similarity(F.col("sig"), F.col("s0"))).alias("sim"))
+    return posts.select(*keys, "id", "rank").join(best, [*keys, "id", "rank"], "left").select(*keys, "id", "rank", F.coalesce("sim", F.lit(0.0)).alias("sim"))
+
+
+def first_story(posts: DataFrame, background: DataFrame | None = None, keys: tuple[str, ...] = (), below: float = config.NOVELTY_BELOW) -> DataFrame:
+    """Of each story (keys): the earliest post that resembles neither the background nor a post before it, and how new it is; of a
+    continuation, where all do, the earliest, with 0."""
+    order = F.struct("rank", "id")
+    near = nearest(posts, background, keys)
+    new = F.min_by(F.struct("id", F.bround(1 - F.col("sim"), 3).alias("novelty")), F.when(F.col("sim") < below, order))
+    found = near.groupBy(*keys).agg(F.coalesce(new, F.min_by(F.struct("id", F.lit(0.0).alias("novelty")), order)).alias("f"))
+    return found.where("f is not null").select(*keys, "f.id", "f.novelty")

@@ -228,8 +228,13 @@ def minhash_signature(spark, sf):
 
 @_query(None)
 def first_story(spark, sf):
-    rows = posts(spark, sf).select(F.col("doc_id").alias("id"), F.col("doc_id").alias("rank"), T.minhash(T.shingles(F.col("text"))).alias("sig"))
-    return stories.first_story(rows)
+    """A language's posts in a bucket stand for a story; all posts of the six buckets before it are the background."""
+    width = FAST.units * 60
+    rows = posts(spark, sf).where("ts is not null").select((F.col("ts") - F.col("ts") % width).alias("bucket"), "lang", "ts", "doc_id", T.minhash(T.shingles(F.col("text"))).alias("sig")).persist()  # signatures are made once
+    mode, lang = F.lit(FAST.name).alias("mode"), F.coalesce("lang", F.lit(""))
+    candidates = rows.select(mode, "bucket", F.concat_ws("@", lang, "bucket").alias("story"), F.col("doc_id").alias("id"), F.col("ts").alias("rank"), "sig")
+    background = rows.select(mode, F.explode(F.sequence(F.col("bucket") + width, F.col("bucket") + 6 * width, F.lit(width))).alias("bucket"), "sig")
+    return stories.first_story(candidates, background, ("mode", "bucket", "story")).drop("bucket")
 
 
 @_query(f"""{_WORDS}, g AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) < 2 THEN ws ELSE list_transform(range(1, len(ws)), lambda k: ws[k] || ' ' || ws[k + 1]) END) AS s FROM w)

@@ -105,6 +105,17 @@ def test_first_story(spark):
     assert {r.id: r.sim for r in stories.nearest(df).collect()}[1] == 1.0
 
 
+def test_first_story_against_background(spark):
+    quake, other, third = "quake hits the coast tonight everyone", "a wholly different matter entirely here", "some third thing nobody has told before"
+    sig = T.minhash(T.shingles(F.col("text"))).alias("sig")
+    rows = [("a", 0, quake), ("a", 1, other), ("b", 2, quake), ("b", 3, quake), ("c", 4, third), ("c", 5, other)]
+    posts = spark.createDataFrame(rows, "story string, id bigint, text string").select(F.lit("fast").alias("mode"), "story", "id", F.col("id").alias("rank"), sig)
+    background = spark.createDataFrame([("a", quake), ("b", quake)], "story string, text string").select("story", sig)
+    got = stories.first_story(posts, background, ("mode", "story")).collect()
+    assert {(r.mode, r.story): (r.id, r.novelty) for r in got} == {("fast", "a"): (1, 1.0), ("fast", "b"): (2, 0.0), ("fast", "c"): (4, 1.0)}
+    assert len(got) == 3 and stories.first_story(posts.where("false"), background, ("mode", "story")).count() == stories.first_story(posts.where("false")).count() == 0
+
+
 def test_communities_and_chains(spark):
     rows = [(w, t, f"{w}-{i}") for w in (0, 240) for i in range(6) for t in ("harbour", "bridge")] + [(0, t, f"q{i}") for i in range(4) for t in ("quake", "jma")]
     got = stories.communities(spark.createDataFrame(rows, "window bigint, term string, post string"))
