@@ -7,6 +7,7 @@ A word is a run of bytes other than 0x20 and 0x09-0x0D; null texts are empty.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,15 +19,20 @@ CHUNK = 400_000
 
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
-_rng = np.random.default_rng(20240229)
+#: Bytes with capitals as small letters.
+SMALL = np.arange(256, dtype=np.uint8)
+SMALL[65:91] += 32
 _ODD = np.uint64(1)
-#: A random value for each byte; with LOWER, capitals have the values of small letters.
-BYTE = _rng.integers(0, 2**64, 256, dtype=np.uint64)
-LOWER = BYTE.copy()
-LOWER[65:91] = BYTE[97:123]
-_BASE = int(_rng.integers(0, 2**63, dtype=np.uint64)) * 4 + 5 & (2**64 - 1)
-_BASE2 = int(_rng.integers(0, 2**63, dtype=np.uint64)) * 4 + 5 & (2**64 - 1)
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+_rng = np.random.default_rng(20240229)
+#: The modulus of sequence hashes: a prime, so that no pattern of symbols (as powers of two have them) makes hashes meet.
+PRIME = 2**61 - 1
+_P, _LOW32, _LOW29, _LOW31 = (np.uint64(x) for x in (PRIME, 2**32 - 1, 2**29 - 1, 2**31 - 1))
+_BASES = [int(x) for x in _rng.integers(2**40, PRIME, 2)]
+_POWERS: dict[int, np.ndarray] = {}
+_MASKS = np.array([2 ** (8 * k) - 1 for k in range(8)] + [2**64 - 1], np.uint64)
+_K1, _K2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+#: Byte ranges beyond this many bytes are hashed one by one.
+_LONG = 64
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -39,31 +45,68 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i modulo 2**64, for i below n at least."""
+def _reduced(x: np.ndarray) -> np.ndarray:
+    x = (x >> np.uint64(61)) + (x & _P)
+    return np.where(x >= _P, x - _P, x)
+
+
+def mulmod(a: np.ndarray, b) -> np.ndarray:
+    """a * b modulo PRIME, of values below it."""
+    b = np.uint64(b) if np.isscalar(b) else b
+    ah, al, bh, bl = a >> np.uint64(32), a & _LOW32, b >> np.uint64(32), b & _LOW32
+    mid, low = ah * bl + al * bh, al * bl
+    return _reduced(ah * bh * np.uint64(8) + (mid >> np.uint64(29)) + ((mid & _LOW29) << np.uint64(32)) + (low >> np.uint64(61)) + (low & _P))
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    """base**i modulo PRIME, for i below n at least."""
     have = _POWERS.get(base)
-    if have is None or len(have[0]) < n:
-        size = max(1 << 16, 1 << int(n - 1).bit_length())
-        out = []
-        for b in (base, pow(base, -1, 2**64)):
-            p = np.full(size, b, np.uint64)
-            p[0] = 1
-            out.append(np.multiply.accumulate(p))
-        have = _POWERS[base] = (out[0], out[1])
+    if have is None or len(have) < n:
+        have = np.ones(1, np.uint64)
+        while len(have) < max(n, 1 << 16):
+            have = np.concatenate([have, mulmod(have, pow(base, len(have), PRIME))])
+        _POWERS[base] = have
     return have
 
 
 class Prefix:
-    """Hashes of any ranges of a sequence of 64-bit values."""
+    """Hashes of any ranges of a sequence of 64-bit values: a polynomial modulo PRIME."""
 
     def __init__(self, values: np.ndarray, second: bool = False):
-        up, self.down = _powers(_BASE2 if second else _BASE, len(values) + 1)
-        self.sums = np.zeros(len(values) + 1, np.uint64)
-        np.cumsum(values * up[: len(values)], out=self.sums[1:])
+        base = _BASES[second]
+        n = len(values)
+        terms = mulmod(_reduced(values), _powers(base, n + 1)[:n])
+        self.down = _powers(pow(base, -1, PRIME), n + 1)
+        self.sums = np.zeros(n + 1, np.uint64)
+        self.sums[1:] = _reduced(mulmod(np.cumsum(terms >> np.uint64(31), dtype=np.uint64), 2**31) + _reduced(np.cumsum(terms & _LOW31, dtype=np.uint64)))
 
     def ranges(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        h = (self.sums[end] - self.sums[start]) * self.down[start]
-        return mix(h + (end - start).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        h = mulmod(_reduced(self.sums[end] + (_P - self.sums[start])), self.down[start])
+        return mix(h + (end - start).astype(np.uint64) * _K1)
+
+
+def hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit names of byte ranges, 8 bytes at a time in two lanes; long ranges by BLAKE2."""
+    n = (end - start).astype(np.int64)
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    eight = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+    one = mix(n.astype(np.uint64) * _K1 + _K2)
+    two = mix(n.astype(np.uint64) * _K2 + _K1)
+    own = np.flatnonzero((n > 0) & (n <= _LONG))
+    for k in range(0, _LONG, 8):
+        if not len(own):
+            break
+        block = eight[start[own] + k] & _MASKS[np.minimum(n[own] - k, 8)]
+        one[own] = mix(one[own] ^ block * _K2)
+        two[own] = mix(two[own] + mix(block + _K1))
+        own = own[n[own] > k + 8]
+    out = mix(one + mix(two ^ _K1))
+    long_ = np.flatnonzero(n > _LONG)
+    if len(long_):
+        raw = memoryview(np.ascontiguousarray(data))
+        out[long_] = [int.from_bytes(hashlib.blake2b(raw[a:b], digest_size=8).digest(), "little") for a, b in zip(start[long_].tolist(), end[long_].tolist())]
+    return out
 
 
 def flatten(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -117,8 +160,8 @@ class Words:
         return np.repeat(np.arange(len(self.offs) - 1), np.diff(self.first))
 
     def names(self, lower: bool = False) -> np.ndarray:
-        """64-bit names of the words, alike for equal words only (but for chance of 2**-64)."""
-        return Prefix((LOWER if lower else BYTE)[self.data]).ranges(self.start, self.end)
+        """64-bit names of the words: equal words have equal names, and others meet by chance only."""
+        return hashes(SMALL[self.data] if lower else self.data, self.start, self.end)
 
 
 _COEFS = mix(np.arange(1, 257, dtype=np.uint64)) | _ODD

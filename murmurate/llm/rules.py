@@ -79,7 +79,7 @@ def counts(data: np.ndarray, offs: np.ndarray) -> list[np.ndarray]:
     doc = np.searchsorted(offs, begin, "right") - 1
     worded = chars[end] > chars[begin]
     begin, end, doc = begin[worded], end[worded], doc[worded]
-    names = flat.Prefix(flat.BYTE[data]).ranges(begin, end)
+    names = flat.hashes(data, begin, end)
     order = np.lexsort((names, doc))
     same = (names[order][1:] == names[order][:-1]) & (doc[order][1:] == doc[order][:-1])
     dup_lines = np.bincount(doc[order][1:][same], minlength=n) if n else np.zeros(0, np.int64)

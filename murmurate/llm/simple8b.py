@@ -32,7 +32,6 @@ def encode(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     if not n:
         return np.zeros(0, np.uint64), np.zeros(1, np.uint32), np.zeros(0, np.uint64)
     grid = np.zeros((blocks, BLOCK + 60), np.uint64)
-    grid[:, :BLOCK].reshape(-1)[:0]
     full = np.zeros(blocks * BLOCK, np.uint64)
     full[:n] = v
     grid[:, :BLOCK] = full.reshape(blocks, BLOCK)

@@ -224,7 +224,7 @@ class Counter:
         begins[np.searchsorted(where, cuts)] = True
         start = where[piece_starts(_classes(points, begins))]
         end = np.append(start[1:], len(data))
-        names = flat.Prefix(flat.BYTE[data]).ranges(start, end)
+        names = flat.hashes(data, start, end)
         slot = (names >> np.uint64(64 - _SLOT_BITS)).astype(np.int64)
         counts = self.known[slot]
         miss = np.flatnonzero(self.keys[slot] != names)

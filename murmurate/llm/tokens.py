@@ -122,7 +122,7 @@ class Coder:
             start, end, first, names = w.start, w.end, w.first, w.names()
         else:
             start, end, first = spaced_pieces(data, offs)
-            names = flat.Prefix(flat.BYTE[data]).ranges(start, end)
+            names = flat.hashes(data, start, end)
         if self.used > _HELD:
             self._clear()
         slot = (names >> np.uint64(64 - _SLOT_BITS)).astype(np.int64)

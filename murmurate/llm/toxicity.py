@@ -33,16 +33,15 @@ def ngrams(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.nda
     size = end - start + 2
     row, place = flat.spread(size)
     edge = (place == 0) | (place == size[row] - 1)
-    values = flat.LOWER[data[np.minimum(start[row] + place - 1, len(data) - 1)]]
-    values[edge] = np.where(place[edge] == 0, np.uint64(0x1234567), np.uint64(0x7654321))
-    sums = flat.Prefix(values)
+    letters = flat.SMALL[data[np.minimum(start[row] + place - 1, len(data) - 1)]]
+    letters[edge] = np.where(place[edge] == 0, 2, 3)
     last = np.cumsum(size)[row]  # where the word ends
     at = np.arange(len(row))
     words, buckets = [], []
     for n in (3, 4, 5, 6):
         own = at[at + n <= last]
         words.append(row[own])
-        buckets.append((sums.ranges(own, own + n) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64))
+        buckets.append((flat.hashes(letters, own, own + n) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64))
     words, buckets = np.concatenate(words), np.concatenate(buckets)
     order = np.argsort(words, kind="stable")
     return buckets[order], words[order]
