@@ -2,16 +2,17 @@
 
 Words are the first symbols. Each round names, for the whole corpus alike, runs of one symbol and then pairs of a
 left and a right symbol (a bit of a symbol's name and the round says which it is). A name is a 64-bit hash of what it
-stands for, so that naming is global without moving any text, and equal passages get equal symbols in their interior:
-each symbol carries the stretch of words (its context) that it depends on, whatever lies around.
-
-Two kinds of shared symbols are joined across the corpus, each as (name, document), pre-aggregated to the first document:
-- blocks: at BLOCK_LEVEL, the symbols from each one on until BLOCK words are reached. A block that an earlier
-  document has too is a repeat as a whole.
-- anchors: every window of WINDOW words takes the least name among the highest-level symbols whose context it holds; words
-  themselves are the last resort, so each window has one, and equal windows have equal anchors. Where an anchor
-  is shared, windows outside repeated blocks are verified by a 128-bit hash of their words.
-So no repeat is missed whatever lies around it, and none is assumed.
+stands for, so that a name means the same in every task without a dictionary to be joined, and equal passages get equal
+symbols in their interior: each symbol carries the stretch of words (its context) that it depends on, whatever lies around.
+
+Spark rounds then say which named sequences of symbols are shared, each on what the one before left:
+1. anchors: every window of WINDOW words takes the least name among the sequences of ANCHORS symbols (some 13 words)
+   whose context it holds; equal windows have equal anchors. Sequences of lower symbols, and words in the end, stand
+   in where a window holds no higher one. An anchor in two documents makes both texts go on.
+2. blocks: of these texts, sequences of the highest symbols that reach BLOCK words, named by 128 bits. A block
+   that an earlier document has too is a repeat as a whole.
+3. windows outside such blocks whose anchor is shared are verified by a 128-bit hash of all their words.
+So no repeat is missed whatever lies around it. Every round pre-aggregates to the first and last document of a name.
 
 A window is repeated if its words also start in a document with a smaller doc_id; covered words go. Null texts have no
 words. Rows with a null doc_id are neither earlier nor later than others: nothing of them goes, and they make nothing
@@ -32,7 +33,9 @@ from pyspark.sql import functions as F
 from . import flat, store
 
 WINDOW = 50
-BLOCK, BLOCK_LEVEL, ANCHOR_LEVELS = 80, 9, (4, 2, 0)
+BLOCK, BLOCK_LEVEL = 80, 9
+#: Level of symbols, and how many of them one after the other are an anchor.
+ANCHORS = ((4, 4), (2, 6), (0, 16))
 _A, _B, _C = (np.uint64(x) for x in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB))
 
 
@@ -102,61 +105,70 @@ class Parse:
         self.sym, self.start, self.end, self.left, self.right, self.doc = name[keep], self.start[keep], end[keep], left[keep], right[keep], self.doc[keep]
 
 
-def _window_anchors(p: Parse, window: int, own: np.ndarray, out: np.ndarray) -> np.ndarray:
-    """Sets out for windows (first words in own) that hold a symbol's context; returns the other windows."""
-    lo, hi = np.searchsorted(p.left, own, "left"), np.searchsorted(p.right, own + window, "right")
-    n = hi - lo
-    got = n > 0
-    if got.any():
-        values = flat.mix(p.sym ^ np.uint64(p.level + 1))
-        tables, width = [values], 1
-        while 2 * width <= int(n.max()):
-            values = values.copy()
-            np.minimum(values[:-width], tables[-1][width:], out=values[:-width])
-            tables.append(values)
-            width *= 2
-        k = np.frexp(n[got].astype(np.float64))[1] - 1
-        a, b = lo[got], hi[got]
-        least = np.empty(len(a), np.uint64)
-        for level in np.unique(k):
-            sel = k == level
-            t = tables[level]
-            least[sel] = np.minimum(t[a[sel]], t[b[sel] - (1 << int(level))])
-        out[own[got]] = least
-    return own[~got]
+class _Sequences:
+    """Sequences of n adjacent symbols of one text: name and context."""
+
+    def __init__(self, p: Parse, n: int):
+        m = max(0, len(p.sym) - n + 1)
+        name = np.zeros(m, np.uint64)
+        for j in range(n):
+            name = flat.mix(name * _A + p.sym[j : j + m])
+        own = np.flatnonzero(p.doc[:m] == p.doc[n - 1 : n - 1 + m])
+        self.name, self.left, self.right = flat.mix(name[own] ^ np.uint64(p.level + 1)), p.left[:m][own], p.right[n - 1 : n - 1 + m][own]
+
+    def least(self, window: int, own: np.ndarray, out: np.ndarray) -> np.ndarray:
+        """Sets out to the least name that a window (first words in own) holds; returns the windows that hold none."""
+        lo, hi = np.searchsorted(self.left, own, "left"), np.searchsorted(self.right, own + window, "right")
+        n = hi - lo
+        got = n > 0
+        if got.any():
+            tables, width = [self.name], 1
+            while 2 * width <= int(n.max()):
+                values = tables[-1].copy()
+                np.minimum(values[:-width], tables[-1][width:], out=values[:-width])
+                tables.append(values)
+                width *= 2
+            k = np.frexp(n[got].astype(np.float64))[1] - 1
+            a, b = lo[got], hi[got]
+            least = np.empty(len(a), np.uint64)
+            for power in np.unique(k):
+                sel = k == power
+                t = tables[power]
+                least[sel] = np.minimum(t[a[sel]], t[b[sel] - (1 << int(power))])
+            out[own[got]] = least
+        return own[~got]
 
 
 class Passages:
-    """Blocks and windows of texts in a row."""
+    """Anchors, blocks and windows of texts in a row. The highest symbols are made only where blocks are asked for."""
 
-    def __init__(self, data: np.ndarray, offs: np.ndarray, window: int):
+    def __init__(self, data: np.ndarray, offs: np.ndarray, window: int, blocks: bool = True):
         self.w = w = flat.Words(data, offs)
-        names, self.window = w.names(), window
-        self.names, self.sums = names, flat.Prefix(names)
+        self.names, self.window = w.names(), window
+        self.doc = w.doc()
         self.windows = np.flatnonzero(flat.gram_mask(w.first, window))
-        self.anchors = np.zeros(len(names), np.uint64)
-        p, held = Parse(names, w.first), {}
-        block = BLOCK * window // WINDOW
-        for level in range(BLOCK_LEVEL + 1):
+        self.anchors = np.zeros(len(w), np.uint64)
+        p, held = Parse(self.names, w.first), {}
+        for level in range(BLOCK_LEVEL + 1 if blocks else max(k for k, _ in ANCHORS) + 1):
             if level:
                 p.round()
-            if level in ANCHOR_LEVELS:
-                held[level] = Parse.__new__(Parse)
-                held[level].__dict__.update(p.__dict__)
+            held |= {k: _Sequences(p, max(1, n * window // WINDOW)) for k, n in ANCHORS if k == level}
         rest = self.windows
-        for level in ANCHOR_LEVELS:
-            rest = _window_anchors(held[level], window, rest, self.anchors)
-        end = np.searchsorted(p.end, p.start + block, "left")
-        ok = np.flatnonzero(end < len(p.sym))
-        ok = ok[p.doc[end[ok]] == p.doc[ok]] if len(ok) else ok
-        self.block_start, self.block_end, self.block_doc = p.start[ok], p.end[end[ok]], p.doc[ok]
-        self.blocks = self.sums.ranges(self.block_start, self.block_end) ^ np.uint64(0xB10C)
-        self.doc = w.doc()
+        for level, _ in ANCHORS:
+            rest = held[level].least(window, rest, self.anchors)
+        if blocks:
+            self.sums, self.sums2 = flat.Prefix(self.names), flat.Prefix(self.names, True)
+            end = np.searchsorted(p.end, p.start + BLOCK * window // WINDOW, "left")
+            ok = np.flatnonzero(end < len(p.sym))
+            ok = ok[p.doc[end[ok]] == p.doc[ok]] if len(ok) else ok
+            self.block_start, self.block_end, self.block_doc = p.start[ok], p.end[end[ok]], p.doc[ok]
+
+    def hashes(self, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return self.sums.ranges(start, end), self.sums2.ranges(start, end)
 
     def keys(self) -> tuple[np.ndarray, np.ndarray]:
-        """(text, key) of blocks and anchors, each once a text."""
-        doc = np.concatenate([self.doc[self.windows], self.block_doc])
-        key = np.concatenate([self.anchors[self.windows], self.blocks])
+        """(text, anchor), each once."""
+        doc, key = self.doc[self.windows], self.anchors[self.windows]
         step = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (doc[1:] != doc[:-1]))) if len(key) else np.zeros(0, np.int64)
         doc, key = doc[step], key[step]
         order = np.lexsort((key, doc))
@@ -164,20 +176,15 @@ class Passages:
         keep = np.append(True, (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])) if len(key) else np.zeros(0, bool)
         return doc[keep], key[keep]
 
-    def window_hashes(self, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return self.sums.ranges(own, own + self.window), flat.Prefix(self.names, True).ranges(own, own + self.window)
-
-    def split(self, earlier: tuple[np.ndarray, np.ndarray], shared: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """The words that repeated blocks cover, and the windows to be verified. Given are (text, key)."""
-        cover = np.zeros(len(self.w) + 1, np.int64)
-        done = np.zeros(len(self.w) + 1, np.int64)
-        hit = _of(self.block_doc, self.blocks, earlier)
+    def covered(self, known: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        """The words that known blocks cover, and the windows that no known block holds."""
+        cover, done = np.zeros(len(self.w) + 1, np.int64), np.zeros(len(self.w) + 1, np.int64)
+        hit = _both(self.block_doc, self.hashes(self.block_start, self.block_end), known)
         np.add.at(cover, self.block_start[hit], 1)
         np.add.at(cover, self.block_end[hit], -1)
         np.add.at(done, self.block_start[hit], 1)
         np.add.at(done, self.block_end[hit] - self.window + 1, -1)
-        own = self.windows[np.cumsum(done)[self.windows] == 0]
-        return np.cumsum(cover)[:-1] > 0, own[_of(self.doc[own], self.anchors[own], shared)]
+        return np.cumsum(cover)[:-1] > 0, self.windows[np.cumsum(done)[self.windows] == 0]
 
 
 def _of(doc: np.ndarray, key: np.ndarray, known: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
@@ -185,23 +192,34 @@ def _of(doc: np.ndarray, key: np.ndarray, known: tuple[np.ndarray, np.ndarray])
     return np.isin(flat.mix(key + doc.astype(np.uint64) * _A), flat.mix(known[1] + known[0].astype(np.uint64) * _A))
 
 
+def _both(doc: np.ndarray, keys: tuple[np.ndarray, np.ndarray], known: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Which (text, 128-bit key) are known: both halves are."""
+    return _of(doc, keys[0], known[0]) & _of(doc, keys[1], known[1])
+
+
+_ROW = ["doc_id", "h"]
+
+
 def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("h"), "text").where("doc_id is not null and text is not null")
 
 
-def _keys(docs: DataFrame, window: int) -> DataFrame:
+def _anchors(docs: DataFrame, window: int) -> DataFrame:
+    """key, doc_id, h (xxhash64 of the text): the distinct anchors of each text."""
+
     def run(batches):
         for batch in batches:
-            data, offs = flat.flatten(batch.column(1))
+            data, offs = flat.flatten(batch.column(2))
             for a, b in flat.chunks(offs):
-                doc, key = Passages(data[offs[a] : offs[b]], offs[a : b + 1] - offs[a], window).keys()
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), batch.column(0).take(pa.array(a + doc))], ["key", "doc_id"])
+                doc, key = Passages(data[offs[a] : offs[b]], offs[a : b + 1] - offs[a], window, False).keys()
+                at = pa.array(a + doc)
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), batch.column(0).take(at), batch.column(1).take(at)], ["key", *_ROW])
 
-    return _texts(docs).select("doc_id", "text").mapInArrow(run, "key bigint, doc_id bigint")
+    return _texts(docs).mapInArrow(run, "key bigint, doc_id bigint, h bigint")
 
 
 def _packed(docs: DataFrame, window: int) -> DataFrame:
-    """Texts with a window at least, compressed: they are shuffled once."""
+    """Texts with a window at least, compressed: they are shuffled."""
 
     def run(batches):
         codec = zstandard.ZstdCompressor(level=3)
@@ -214,19 +232,13 @@ def _packed(docs: DataFrame, window: int) -> DataFrame:
                     rows.append(a + i)
                     packed.append(codec.compress(data[offs[a + i] : offs[a + i + 1]].tobytes()))
             at = pa.array(rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(packed, pa.binary())], ["doc_id", "h", "packed"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(packed, pa.binary())], [*_ROW, "packed"])
 
     return _texts(docs).mapInArrow(run, "doc_id bigint, h bigint, packed binary")
 
 
 def _groups(batch: pa.RecordBatch, window: int, codec):
-    """Rows of a batch, a few MB of text at a time: row numbers, their passages, covered words, windows to be verified."""
-
-    def lists(name: str, rows: list[int]) -> tuple[np.ndarray, np.ndarray]:
-        column = batch.column(name)
-        parts = [column[i].values.to_numpy().view(np.uint64) if column[i].is_valid else np.zeros(0, np.uint64) for i in rows]
-        return np.repeat(np.arange(len(rows)), [len(x) for x in parts]), np.concatenate(parts)
-
+    """Rows of a batch, some text at a time: row numbers, their passages, and what a list column knows of them."""
     rows, raw, size = [], [], 0
     for i in range(batch.num_rows):
         rows.append(i)
@@ -234,41 +246,66 @@ def _groups(batch: pa.RecordBatch, window: int, codec):
         size += len(raw[-1])
         if size >= flat.CHUNK or i == batch.num_rows - 1:
             offs = np.append(0, np.cumsum([len(x) for x in raw]))
-            p = Passages(np.frombuffer(b"".join(raw), np.uint8), offs, window)
-            yield rows, p, *p.split(lists("earlier", rows), lists("shared", rows)), lists
+
+            def known(name: str, rows: list[int] = rows) -> tuple[np.ndarray, np.ndarray]:
+                column = batch.column(name)
+                parts = [column[k].values.to_numpy().view(np.uint64) if column[k].is_valid else np.zeros(0, np.uint64) for k in rows]
+                return np.repeat(np.arange(len(rows)), [len(x) for x in parts]), np.concatenate(parts)
+
+            yield rows, Passages(np.frombuffer(b"".join(raw), np.uint8), offs, window), known
             rows, raw, size = [], [], 0
 
 
-def repeated(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """doc_id, h (xxhash64 of the text), n_words, n_removed, spans (of removed words), text (kept words, one space between): texts with a repeat only."""
-    first = _keys(docs, window).groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("key", "first")
-    first = store.keep(first, "shared-symbols")
-    hits = _keys(docs, window).join(first, "key")
-    lists = hits.groupBy("doc_id").agg(F.collect_list(F.when(F.col("first") < F.col("doc_id"), F.col("key"))).alias("earlier"), F.collect_list("key").alias("shared"))
-    touched = store.keep(_packed(docs, window).join(lists, "doc_id").dropDuplicates(["doc_id", "h"]), "touched-texts")
+def _named(rows: DataFrame, window: int, which) -> DataFrame:
+    """k1, k2, doc_id, h: the 128-bit names of what which(passages, known) gives as first and last (exclusive) words, each once a text."""
 
-    def emit(batches):
+    def run(batches):
         codec = zstandard.ZstdDecompressor()
         for batch in batches:
-            for rows, p, _, own, _ in _groups(batch, window, codec):
-                k1, k2 = p.window_hashes(own)
-                keep = np.unique(flat.mix(k1 + p.doc[own].astype(np.uint64) * _A), return_index=True)[1]
-                doc_ids = batch.column("doc_id").take(pa.array(np.array(rows, np.int64)[p.doc[own[keep]]]))
-                yield pa.RecordBatch.from_arrays([pa.array(k1[keep].view(np.int64)), pa.array(k2[keep].view(np.int64)), doc_ids], ["k1", "k2", "doc_id"])
+            for numbers, p, known in _groups(batch, window, codec):
+                doc, start, end = which(p, known)
+                k1, k2 = p.hashes(start, end)
+                keep = np.unique(flat.mix(k1 + doc.astype(np.uint64) * _A), return_index=True)[1]
+                at = pa.array(np.array(numbers, np.int64)[doc[keep]])
+                yield pa.RecordBatch.from_arrays([pa.array(k1[keep].view(np.int64)), pa.array(k2[keep].view(np.int64)), batch.column("doc_id").take(at), batch.column("h").take(at)], ["k1", "k2", *_ROW])
+
+    return rows.mapInArrow(run, "k1 bigint, k2 bigint, doc_id bigint, h bigint")
+
+
+def _earlier(named: DataFrame, name: str) -> DataFrame:
+    """doc_id, h, <name>1, <name>2: the names that a document with a smaller doc_id has too. named is computed twice."""
+    first = named.groupBy("k1", "k2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last")
+    later = named.join(first, ["k1", "k2"]).where("first < doc_id")
+    return later.groupBy(*_ROW).agg(F.collect_list("k1").alias(f"{name}1"), F.collect_list("k2").alias(f"{name}2"))
+
+
+def repeated(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+    """doc_id, h (xxhash64 of the text), n_words, n_removed, spans (of removed words), text (kept words, one space between): texts with a repeat only."""
+    anchors = store.keep(_anchors(docs, window), "anchors")
+    shared = anchors.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("key")
+    lists = store.keep(anchors.join(shared, "key").groupBy(*_ROW).agg(F.collect_set("key").alias("shared")), "shared-anchors")
+    store.drop(anchors)
+    touched = store.keep(_packed(docs, window).join(lists, _ROW).dropDuplicates(_ROW), "touched-texts")
+    store.drop(lists)
+
+    def blocks(p: Passages, known):
+        return p.block_doc, p.block_start, p.block_end
 
-    def windows() -> DataFrame:
-        return touched.mapInArrow(emit, "k1 bigint, k2 bigint, doc_id bigint")
+    def windows(p: Passages, known):
+        own = p.covered([known("blocks1"), known("blocks2")])[1]
+        own = own[_of(p.doc[own], p.anchors[own], known("shared"))]
+        return p.doc[own], own, own + window
 
-    seen = windows().groupBy("k1", "k2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last")
-    later = windows().join(seen, ["k1", "k2"]).where("first < doc_id")
-    found = later.groupBy("doc_id").agg(F.collect_list("k1").alias("found"))
+    rest = store.keep(touched.join(_earlier(_named(touched, window, blocks), "blocks"), _ROW, "left"), "texts-and-blocks")
+    store.drop(touched)
 
     def cut(batches):
         codec = zstandard.ZstdDecompressor()
         for batch in batches:
             out = []
-            for rows, p, gone, own, lists in _groups(batch, window, codec):
-                own = own[_of(p.doc[own], p.window_hashes(own)[0], lists("found", rows))]
+            for rows, p, known in _groups(batch, window, codec):
+                gone, own = p.covered([known("blocks1"), known("blocks2")])
+                own = own[_both(p.doc[own], p.hashes(own, own + window), [known("windows1"), known("windows2")])]
                 cover = np.zeros(len(p.w) + 1, np.int64)
                 np.add.at(cover, own, 1)
                 np.add.at(cover, own + window, -1)
@@ -285,8 +322,8 @@ def repeated(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 kinds = [pa.int64()] * 4 + [pa.list_(pa.list_(pa.int64())), pa.string()]
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out), kinds)], ["doc_id", "h", "n_words", "n_removed", "spans", "text"])
 
-    with_found = touched.join(found, "doc_id", "left").where("found is not null or size(earlier) > 0")
-    return with_found.mapInArrow(cut, "doc_id bigint, h bigint, n_words bigint, n_removed bigint, spans array<array<bigint>>, text string")
+    found = rest.join(_earlier(_named(rest, window, windows), "windows"), _ROW, "left").where("windows1 is not null or blocks1 is not null")
+    return found.mapInArrow(cut, "doc_id bigint, h bigint, n_words bigint, n_removed bigint, spans array<array<bigint>>, text string")
 
 
 def joined(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> bytes:
