@@ -9,6 +9,7 @@ from . import backoff, decontaminate, labelled, neardup, packing, quality, repea
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    store.bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

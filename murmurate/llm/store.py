@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 KEY = "spark.checkpoint.dir"
+#: Bytes of an Arrow batch between Spark and Python, about.
+BATCH = str(4 << 20)
 
 
 def shared(spark: SparkSession) -> str:
@@ -21,6 +23,11 @@ def shared(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches of BATCH bytes at most: rows hold whole texts, and the default of 10,000 rows would make batches as long as the texts are."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH)
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared(spark)}/{name}-{uuid.uuid4().hex}"
 
@@ -28,6 +35,7 @@ def new_path(spark: SparkSession, name: str) -> str:
 def keep(df: DataFrame, name: str) -> DataFrame:
     """The rows written to the shared folder and read again: lineage ends there, and a lost executor costs no more than a task."""
     path = new_path(df.sparkSession, name)
+    bounded_batches(df.sparkSession)
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._kept_at = path
