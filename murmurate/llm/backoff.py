@@ -1,16 +1,18 @@
 """Stupid-backoff scores of documents under a bigram model counted over the corpus itself.
 
-score of a word = c(previous, word) / c(previous) where the pair occurs MIN_PAIR times or more in the corpus, else
-ALPHA * c(word) / N (a text's first word: c(word) / N); a document's score is the sum of the logarithms.
+score of a word = c(previous, word) / c(previous) where the pair occurs min_pair times or more in the corpus, else
+alpha * c(word) / N (a text's first word: c(word) / N); a document's score is the sum of the logarithms.
 
 The tables are partitioned by hash and joined to the documents' own n-grams, summed per document:
-1. words are counted (pre-aggregated by task) and kept; words with more than a share of all, at most HOT * groups
-   of them by that definition, are known to every task;
-2. n-grams go to groups by the hash of their word, those of frequent words by the hash of the pair; a group
-   counts its pairs and scores them, for each document; it knows c(word) of all its words;
-3. what is left is c(previous) of pairs that were found: one row for each document and previous word, joined to the
-   word table.
-N-grams travel as sorted binary arrays, a few MB of text at a time, each pair and document once.
+1. words are counted (pre-aggregated by task) and kept: the word table;
+2. pairs of two hot words are counted in the same way: the table of hot pairs. Hot is what makes up 1 / hot of all words
+   or more, so there are hot such words and as many such pairs at most, however large the corpus. Tasks know both tables;
+3. all other n-grams are exploded, each pair and document of a part of the text once, and dealt by the hash of their
+   previous word, those of hot previous words by the hash of the pair; where they meet, pairs are counted and scored
+   (hot pairs are scored where they stand);
+4. c(word) of pairs that back off is left: a row for each document and word, joined to the word table.
+N-grams travel as sorted binary arrays: a row holds those of a part of the text for one group, so there are never more
+rows than n-grams. A group holds some GROUP_WORDS n-grams; of a pair that isn't hot, N / hot at most meet in one.
 
 Null, empty and blank texts score 0 with 0 words. Words are as they stand, in 64-bit names. Rows with null ids are
 scored and counted; rows that repeat a doc_id are one document (their counts and scores add up). An empty table gives no rows.
@@ -26,13 +28,19 @@ from pyspark.sql import functions as F
 
 from . import flat, store
 
-MIN_PAIR, ALPHA, HOT = 2, 0.4, 4
-#: Bytes of text whose n-grams one group holds, about; bytes of text sorted at once.
-GROUP_BYTES, CHUNK = 20_000_000, 3_000_000
+MIN_PAIR, ALPHA = 2, 0.4
+#: N-grams of a group, about; bytes of text whose n-grams are sorted together.
+GROUP_WORDS, CHUNK = 1_000_000, 16_000_000
+#: Least and most hot words; between, so many that what isn't hot fits a quarter of a group.
+HOT, MOST_HOT = 1_000, 1_000_000
+#: Words that tasks know the count of, at most: those that make up 1 / KNOWN of all or more.
+KNOWN = 100_000
+#: Stand for the word before a text, and the word after it.
+_BEGIN, _END = np.uint64(2), np.uint64(1)  # mix(0) is 0, so not that
 
 
 def _names(column: pa.Array):
-    """Names of words, first word of each text, first row; a few MB at a time."""
+    """Names of words, first word of each text, first row; some MB at a time."""
     data, offs = flat.flatten(column)
     for a, b in flat.chunks(offs, CHUNK):
         parts, first = [], [np.zeros(1, np.int64)]
@@ -40,156 +48,215 @@ def _names(column: pa.Array):
             w = flat.Words(data[offs[a + x] : offs[a + y]], offs[a + x : a + y + 1] - offs[a + x])
             parts.append(w.names())
             first.append(first[-1][-1] + w.first[1:])
-        yield np.concatenate(parts), np.concatenate(first), a
+        yield np.maximum(np.concatenate(parts), np.uint64(3)), np.concatenate(first), a
+
+
+class _Counts:
+    """Counts by keys of one or more columns, handed on when many are held."""
+
+    def __init__(self):
+        self.waiting: list[tuple[np.ndarray, np.ndarray]] = []
+        self.size = 0
+
+    def add(self, keys: np.ndarray) -> None:
+        self.waiting.append(np.unique(keys, return_counts=True))
+        self.size += len(self.waiting[-1][0])
+        if self.size > 400_000 and len(self.waiting) > 1:
+            keys, back = np.unique(np.concatenate([k for k, _ in self.waiting]), return_inverse=True)
+            self.waiting = [(keys, np.bincount(back, np.concatenate([n for _, n in self.waiting]), len(keys)).astype(np.int64))]
+            self.size = len(keys) // 4  # merge again once as many are new
+
+    def full(self) -> bool:
+        return sum(len(k) for k, _ in self.waiting) > 1_500_000
+
+    def rows(self) -> pa.RecordBatch:
+        keys = np.concatenate([np.zeros(0, np.uint64), *(k for k, _ in self.waiting)])
+        n = np.concatenate([np.zeros(0, np.int64), *(n for _, n in self.waiting)])
+        self.waiting, self.size = [], 0
+        return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], ["key", "n"])
+
+
+def _counted(docs: DataFrame, which) -> DataFrame:
+    """key, n over the whole corpus: how often which(names, first) gives a key."""
+
+    def run(batches):
+        counts = _Counts()
+        for batch in batches:
+            for names, first, _ in _names(batch.column(0)):
+                counts.add(which(names, first))
+                if counts.full():
+                    yield counts.rows()
+        yield counts.rows()
+
+    return docs.select("text").mapInArrow(run, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
     """word (its name), n."""
+    return _counted(docs, lambda names, first: names).withColumnRenamed("key", "word")
+
+
+def _previous(names: np.ndarray, first: np.ndarray) -> np.ndarray:
+    prev = np.append(_BEGIN, names[:-1])[: len(names)]
+    prev[first[:-1][np.diff(first) > 0]] = _BEGIN
+    return prev
 
-    def run(batches):
-        held, counts, waiting = np.zeros(0, np.uint64), np.zeros(0, np.int64), []
 
-        def merged():
-            keys = np.concatenate([held, *(k for k, _ in waiting)])
-            n = np.concatenate([counts, *(c for _, c in waiting)])
-            out, back = np.unique(keys, return_inverse=True)
-            return out, np.bincount(back, n, len(out)).astype(np.int64)
+def _pair(prev: np.ndarray, word: np.ndarray) -> np.ndarray:
+    return flat.mix(word ^ flat.mix(prev))
 
+
+class _Known:
+    """Values of sorted keys."""
+
+    def __init__(self, rows: list):
+        pairs = sorted((r[0] % 2**64, r[1]) for r in rows)
+        self.keys, self.n = np.array([k for k, _ in pairs], np.uint64), np.array([n for _, n in pairs], np.float64)
+
+    def of(self, keys: np.ndarray) -> np.ndarray:
+        """The value of each key; 0 of those that aren't known."""
+        if not len(self.keys):
+            return np.zeros(len(keys))
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, self.n[at], 0.0)
+
+
+_PARTS = "doc_id bigint, word bigint, due bigint, score double, n_words bigint"
+
+
+def _hot_scores(docs: DataFrame, words, pairs) -> DataFrame:
+    """A row for each row of docs: its words, and the score of its hot pairs."""
+
+    def run(batches):
         for batch in batches:
-            for names, _, _ in _names(batch.column(0)):
-                waiting.append(np.unique(names, return_counts=True))
-                if sum(len(k) for k, _ in waiting) > 400_000:
-                    (held, counts), waiting = merged(), []
-                    if len(held) > 1_500_000:
-                        yield pa.RecordBatch.from_arrays([pa.array(held.view(np.int64)), pa.array(counts)], ["word", "n"])
-                        held, counts = held[:0], counts[:0]
-        held, counts = merged()
-        yield pa.RecordBatch.from_arrays([pa.array(held.view(np.int64)), pa.array(counts)], ["word", "n"])
+            for w, first, row in _names(batch.column(1)):
+                prev = _previous(w, first)
+                n = pairs.value.of(_pair(prev, w))
+                own = np.flatnonzero(n)
+                value = np.zeros(len(w) + 1)
+                value[1:][own] = np.log(n[own]) - np.log(words.value.of(prev[own]))
+                score, size = np.diff(np.cumsum(value)[first]), np.diff(first)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, len(size)), pa.nulls(len(size), pa.int64()), pa.array(np.zeros(len(size), np.int64)), pa.array(score), pa.array(size)], ["doc_id", "word", "due", "score", "n_words"])
 
-    return docs.select("text").mapInArrow(run, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, _PARTS)
 
 
-def _grouped(docs: DataFrame, groups: int, hot) -> DataFrame:
-    """group, packed n-grams: words, previous words of each, documents of each pair with how often."""
+def _ngrams(docs: DataFrame, groups: int, words, pairs) -> DataFrame:
+    """group, grams: packed n-grams (previous words, words, documents of each pair and how often)."""
+    step = np.uint64(-(-(2**64) // groups) if groups > 1 else 2**64 - 1)
 
     def run(batches):
-        own_hot = hot.value[0]
         codec = zstandard.ZstdCompressor(level=1)
         for batch in batches:
             ids = batch.column(0)
+            valid = np.asarray(ids.is_valid())
+            plain = np.asarray(ids.fill_null(0)).astype(np.int64)
             for w, first, row in _names(batch.column(1)):
-                doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
-                prev = np.append(np.uint64(0), w[:-1])
-                prev[first[:-1][np.diff(first) > 0]] = 0  # no previous word
-                frequent = np.isin(w, own_hot)
-                group = ((w >> np.uint64(20)) % np.uint64(groups)).astype(np.int64)
-                group[frequent] = (flat.mix(w[frequent] ^ flat.mix(prev[frequent])) % np.uint64(groups)).astype(np.int64)
-                order = np.lexsort((doc, prev, w, group))
-                g, w, prev, doc = group[order], w[order], prev[order], doc[order]
-                new_w = np.append(True, (w[1:] != w[:-1]) | (g[1:] != g[:-1]))
-                new_pair = new_w | np.append(True, prev[1:] != prev[:-1])
-                new_doc = new_pair | np.append(True, doc[1:] != doc[:-1])
-                times = np.diff(np.append(np.flatnonzero(new_doc), len(w)))
-                cuts = np.searchsorted(g, np.arange(groups + 1))
-                doc_at = np.append(0, np.cumsum(new_doc))
-                out_g, out = [], []
-                for k in range(groups):
-                    a, b = cuts[k], cuts[k + 1]
-                    if a == b:
-                        continue
-                    nd = new_doc[a:b]
-                    d, at = np.unique(doc[a:b][nd], return_inverse=True)
-                    pairs, words = np.flatnonzero(new_pair[a:b]), np.flatnonzero(new_w[a:b])
-                    spread_pairs = np.diff(np.append(np.searchsorted(np.flatnonzero(nd), pairs), nd.sum()))
-                    spread_words = np.diff(np.append(np.searchsorted(pairs, words), len(pairs)))
-                    known = ids.take(pa.array(row + d))
-                    out_g.append(k)
-                    light = np.concatenate([spread_words, spread_pairs, at, times[doc_at[a] : doc_at[b]]]).astype(np.uint32)
+                n = np.diff(first)
+                doc = np.repeat(np.arange(len(n)), n)
+                prev = _previous(w, first)
+                last = first[1:][n > 0] - 1  # c(previous) counts a text's last word too
+                prev, w, doc = np.append(prev, w[last]), np.append(w, np.full(len(last), _END)), np.append(doc, np.flatnonzero(n > 0))
+                cold = pairs.value.of(_pair(prev, w)) == 0
+                prev, w, doc = prev[cold], w[cold], doc[cold]
+                # by the previous word; of known ones, and of texts' first words, by the pair
+                by = np.where((prev == _BEGIN) | (words.value.of(prev) > 0), _pair(prev, w), flat.mix(prev))
+                order = np.lexsort((doc, w, by))
+                by, w, prev, doc = by[order], w[order], prev[order], doc[order]
+                group = (by // step).astype(np.int64)
+                new_by = np.append(True, by[1:] != by[:-1])[: len(by)]
+                new_pair = new_by | np.append(True, w[1:] != w[:-1])[: len(by)]
+                new_doc = new_pair | np.append(True, doc[1:] != doc[:-1])[: len(by)]
+                at_doc, at_pair, at_by = (np.flatnonzero(x) for x in (new_doc, new_pair, new_by))
+                times = np.diff(np.append(at_doc, len(by)))
+                begin = np.flatnonzero(np.append(True, group[1:] != group[:-1])[: len(by)])
+                ends = np.append(begin[1:], len(by))
+                d, p, b = (np.searchsorted(x, np.append(begin, len(by))) for x in (at_doc, at_pair, at_by))
+                per_pair, per_by = np.diff(np.append(np.searchsorted(at_doc, at_pair), len(at_doc))), np.diff(np.append(np.searchsorted(at_pair, at_by), len(at_pair)))
+                out = []
+                for k in range(len(begin)):
+                    own, back = np.unique(doc[at_doc[d[k] : d[k + 1]]], return_inverse=True)
+                    light = np.concatenate([per_by[b[k] : b[k + 1]], per_pair[p[k] : p[k + 1]], back, times[d[k] : d[k + 1]]]).astype(np.uint32)
                     planes = light.view(np.uint8).reshape(-1, 4).T.tobytes()
-                    head = np.array([len(words), len(pairs), len(at), len(d)], np.uint32).tobytes()
-                    valid = np.asarray(known.is_valid())
-                    id_bytes = np.asarray(known.fill_null(0)).astype(np.int64).tobytes() + valid.astype(np.uint8).tobytes()
-                    out.append(head + w[a:b][words].tobytes() + prev[a:b][pairs].tobytes() + codec.compress(planes + id_bytes))
-                yield pa.RecordBatch.from_arrays([pa.array(out_g, pa.int32()), pa.array(out, pa.binary())], ["group", "grams"])
+                    head = np.array([b[k + 1] - b[k], p[k + 1] - p[k], d[k + 1] - d[k], len(own)], np.uint32).tobytes()
+                    out.append(head + prev[at_by[b[k] : b[k + 1]]].tobytes() + w[at_pair[p[k] : p[k + 1]]].tobytes() + codec.compress(planes + plain[row + own].tobytes() + valid[row + own].astype(np.uint8).tobytes()))
+                yield pa.RecordBatch.from_arrays([pa.array(group[begin], pa.int32()), pa.array(out, pa.binary())], ["group", "grams"])
 
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "group int, grams binary")
 
 
 def _read(blob: bytes, codec) -> list[np.ndarray]:
-    n_w, n_p, n_d, n_ids = np.frombuffer(blob, np.uint32, 4).tolist()
-    at = 16
-    w = np.frombuffer(blob, np.uint64, n_w, at)
-    prev = np.frombuffer(blob, np.uint64, n_p, at + 8 * n_w)
-    raw = np.frombuffer(codec.decompress(blob[at + 8 * (n_w + n_p) :]), np.uint8)
-    n = n_w + n_p + 2 * n_d
+    """Previous word and word of each pair, documents per pair, documents, how often, ids, and whether ids are given."""
+    n_by, n_pair, n_doc, n_ids = np.frombuffer(blob, np.uint32, 4).tolist()
+    prev = np.frombuffer(blob, np.uint64, n_by, 16)
+    w = np.frombuffer(blob, np.uint64, n_pair, 16 + 8 * n_by)
+    raw = np.frombuffer(codec.decompress(blob[16 + 8 * (n_by + n_pair) :]), np.uint8)
+    n = n_by + n_pair + 2 * n_doc
     light = np.ascontiguousarray(raw[: 4 * n].reshape(4, n).T).view(np.uint32).reshape(-1).astype(np.int64)
-    per_w, per_p, doc, times = np.split(light, np.cumsum([n_w, n_p, n_d]))
-    ids = raw[4 * n : 4 * n + 8 * n_ids].view(np.int64) if n_ids else np.zeros(0, np.int64)
-    return [np.repeat(w, per_w), prev, per_p, doc, times, np.ascontiguousarray(ids), raw[4 * n + 8 * n_ids :].astype(bool)]
+    per_by, per_pair, doc, times = np.split(light, np.cumsum([n_by, n_pair, n_doc]))
+    ids = np.frombuffer(raw[4 * n : 4 * n + 8 * n_ids].tobytes(), np.int64)
+    return [np.repeat(prev, per_by), w, per_pair, doc, times, ids, raw[4 * n + 8 * n_ids :].astype(bool)]
 
 
-def _score_groups(grouped: DataFrame, groups: int, hot, total: int) -> DataFrame:
-    """doc_id, word (previous word whose count is still due, else null), due (how often), score, n_words."""
+def _scored(grams: DataFrame, words, pairs, total: int, min_pair: int, alpha: float) -> DataFrame:
+    """doc_id, word (whose count is still due, else null), due (how often), score, and no words."""
 
     def score(key, table):
-        hot_words, hot_counts = hot.value
         codec = zstandard.ZstdDecompressor()
-        parts = [_read(b.as_buffer().to_pybytes(), codec) for b in table.column("grams").combine_chunks()] if table.num_rows else []
-        w, prev, per_p, doc, times = (np.concatenate([p[i] for p in parts]) for i in range(5))
-        shift = np.cumsum([0] + [len(p[5]) for p in parts[:-1]])
-        doc += np.repeat(shift, [len(p[3]) for p in parts])
+        parts = [_read(b.as_buffer().to_pybytes(), codec) for b in table.column("grams").combine_chunks()]
+        prev, w, per_pair, doc, times = (np.concatenate([p[i] for p in parts]) for i in range(5))
+        doc += np.repeat(np.cumsum([0] + [len(p[5]) for p in parts[:-1]]), [len(p[3]) for p in parts])
         ids, valid = np.concatenate([p[5] for p in parts]), np.concatenate([p[6] for p in parts])
         del parts
-        pair = np.repeat(np.arange(len(prev)), per_p)
-        in_pair = np.bincount(pair, times, len(prev))
-        _, back = np.unique(flat.mix(w ^ flat.mix(prev)), return_inverse=True)
-        of_pair = np.bincount(back, in_pair)[back]
-        _, back = np.unique(w, return_inverse=True)
-        of_word = np.bincount(back, in_pair)[back]
-        at = np.minimum(np.searchsorted(hot_words, w), max(len(hot_words) - 1, 0))
-        if len(hot_words):
-            is_hot = hot_words[at] == w
-            of_word[is_hot] = hot_counts[at[is_hot]]
-        begins = prev == 0
-        found = (of_pair >= MIN_PAIR) & ~begins
-        value = np.where(found, np.log(of_pair), np.log(of_word) - np.log(total) + np.where(begins, 0.0, np.log(ALPHA)))
-        due = found.copy()
-        if len(hot_words):
-            at = np.minimum(np.searchsorted(hot_words, prev), len(hot_words) - 1)
-            known = found & (hot_words[at] == prev)
-            value[known] -= np.log(hot_counts[at[known]])
-            due &= ~known
-        key_of = np.where(valid, ids, -1)
-        doc_ids, back = np.unique(key_of * 2 + valid, return_inverse=True)
+        at = np.repeat(np.arange(len(prev)), per_pair)
+        here = np.bincount(at, times, len(prev))
+        name = _pair(prev, w)
+        _, back = np.unique(name, return_inverse=True)
+        of_pair = np.bincount(back, here)[back]
+        _, back = np.unique(prev, return_inverse=True)
+        known = words.value.of(prev)
+        of_prev = np.where(known > 0, known, np.bincount(back, here)[back])
+        begins, ends = prev == _BEGIN, w == _END
+        found = (of_pair >= min_pair) & ~begins
+        known = words.value.of(w)
+        off = np.where(begins, 0.0, np.log(alpha)) - np.log(total)
+        value = np.where(ends, 0.0, np.where(found, np.log(of_pair) - np.log(of_prev), off + np.log(np.maximum(known, 1))))
+        due = ~found & ~ends & (known == 0)
+        doc_keys, first, back = np.unique(np.where(valid, ids, 0) * 2 + valid, return_index=True, return_inverse=True)
         doc = back[doc]
-        sums, n = np.bincount(doc, value[pair] * times, len(doc_ids)), np.bincount(doc, times, len(doc_ids))
-        left = np.flatnonzero(due[pair])
-        both = flat.mix(prev[pair[left]] ^ flat.mix(doc[left].astype(np.uint64)))
-        _, one, back = np.unique(both, return_index=True, return_inverse=True)
-        owed = np.bincount(back, times[left], len(one)).astype(np.int64) if len(one) else np.zeros(0, np.int64)
-        all_docs = np.concatenate([np.arange(len(doc_ids)), doc[left[one]]])
-        word = pa.concat_arrays([pa.nulls(len(doc_ids), pa.int64()), pa.array(prev[pair[left[one]]].view(np.int64))])
-        got, is_valid = doc_ids[all_docs] >> 1, doc_ids[all_docs] & 1
-        doc_column = pa.array(got, mask=is_valid == 0)
-        zeros = np.zeros(len(one))
-        return pa.table({"doc_id": doc_column, "word": word, "due": pa.array(np.concatenate([np.zeros(len(doc_ids), np.int64), owed])), "score": pa.array(np.concatenate([sums, zeros])), "n_words": pa.array(np.concatenate([n, zeros]).astype(np.int64))})
-
-    return grouped.groupBy("group").applyInArrow(score, "doc_id bigint, word bigint, due bigint, score double, n_words bigint")
-
-
-def scores(docs: DataFrame) -> DataFrame:
+        doc_ids = pa.array(ids[first], mask=~valid[first])
+        sums = np.bincount(doc, value[at] * times, len(first))
+        left = np.flatnonzero(due[at])
+        _, one, back = np.unique(flat.mix(w[at[left]] ^ flat.mix(doc[left].astype(np.uint64))), return_index=True, return_inverse=True)
+        owed = np.bincount(back, times[left], len(one))
+        ids = doc_ids.take(pa.array(np.concatenate([np.arange(len(first)), doc[left[one]]])))
+        word = pa.concat_arrays([pa.nulls(len(first), pa.int64()), pa.array(w[at[left[one]]].view(np.int64))])
+        due_of = np.concatenate([np.zeros(len(first)), owed]).astype(np.int64)
+        return pa.table([ids, word, pa.array(due_of), pa.array(np.concatenate([sums, np.zeros(len(one))])), pa.array(np.zeros(len(due_of), np.int64))], ["doc_id", "word", "due", "score", "n_words"])
+
+    return grams.groupBy("group").applyInArrow(score, _PARTS)
+
+
+def scores(docs: DataFrame, min_pair: int = MIN_PAIR, alpha: float = ALPHA) -> DataFrame:
     """doc_id, n_words, score (sum of natural logarithms), per_word (their mean; null without words)."""
     spark = docs.sparkSession
     table = store.keep(word_counts(docs), "word-counts")
-    size = docs.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
-    groups = max(1, -(-size // GROUP_BYTES))
     total = table.agg(F.sum("n").alias("n")).first().n or 1
-    frequent = table.where(F.col("n") * (HOT * groups) >= total).collect()  # HOT * groups rows at most
-    pairs = sorted((r.word % 2**64, r.n) for r in frequent)
-    hot = spark.sparkContext.broadcast((np.array([k for k, _ in pairs], np.uint64), np.array([n for _, n in pairs], np.float64)))
-    parts = store.keep(_score_groups(_grouped(docs, groups, hot), groups, hot, total), "partial-scores")
-    owed = parts.where("word is not null").join(table, "word").select("doc_id", (-F.col("due") * F.log("n")).alias("score"), F.lit(0).cast("bigint").alias("n_words"))
-    done = parts.where("word is null").select("doc_id", "score", "n_words")
-    none = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.lit(0.0).alias("score"), F.lit(0).cast("bigint").alias("n_words"))
-    sums = done.unionByName(owed).unionByName(none).groupBy("doc_id").agg(F.sum("n_words").alias("n_words"), F.sum("score").alias("score"))
+    hot = min(MOST_HOT, max(HOT, total * 4 // GROUP_WORDS))
+    counts = table.where(F.col("n") * max(hot, KNOWN) >= total).collect()  # max(hot, KNOWN) rows at most
+    words = spark.sparkContext.broadcast(_Known(counts))
+    frequent = np.array(sorted(r.word % 2**64 for r in counts if r.n * hot >= total), np.uint64)
+
+    def hot_pairs(names: np.ndarray, first: np.ndarray) -> np.ndarray:
+        prev = _previous(names, first)
+        own = np.isin(names, frequent) & np.isin(prev, frequent)
+        return _pair(prev[own], names[own])
+
+    pairs = spark.sparkContext.broadcast(_Known(_counted(docs, hot_pairs).where((F.col("n") * hot >= total) & (F.col("n") >= min_pair)).collect()))  # hot rows at most
+    grams = _ngrams(docs, max(1, -(-total // GROUP_WORDS)), words, pairs)
+    parts = _scored(grams, words, pairs, total, min_pair, alpha)
+    owed = parts.join(table.select(F.col("word").alias("of"), "n"), (F.col("word") == F.col("of")) & (F.col("due") > 0), "left")
+    value = F.col("score") + F.when(F.col("due") > 0, F.col("due") * F.log("n")).otherwise(0.0)
+    whole = _hot_scores(docs, words, pairs).select("doc_id", "score", "n_words")
+    sums = owed.select("doc_id", value.alias("score"), "n_words").unionByName(whole).groupBy("doc_id").agg(F.sum("n_words").alias("n_words"), F.sum("score").alias("score"))
     return sums.select("doc_id", "n_words", "score", F.when(F.col("n_words") > 0, F.col("score") / F.col("n_words")).alias("per_word"))
