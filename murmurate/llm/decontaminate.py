@@ -9,11 +9,13 @@ than SHORTEST words: all). Items of up to SHORT words are cut into one piece mor
 are looked for too: one of them is always whole, so of these items no such overlap is missed.
 
 While the items' hashes are few (MAX_HELD, counted first) each task holds them, and training text is not shuffled.
-Beyond that the hashes of both sides are joined by value: only hits, not texts, meet hashes; a second join by
-doc_id and item_id verifies. Hashes that many items share stay exact: all their items are tried.
+Beyond that the hashes of both sides are joined by value: only hits, not texts, meet hashes; a second join verifies. Texts
+are known by their MD5 there, each distinct one once, so that ids decide nothing on either way: both give the same rows.
+Hashes that many items share stay exact: all their items are tried.
 
-Null and empty texts overlap with nothing; null ids are kept; repeated rows are reported each; an empty table or
-benchmark gives no rows; columns other than the ids and texts are not looked at.
+Null and empty texts overlap with nothing; documents and items with null ids are looked at and reported as all others;
+repeated documents are reported each, repeated items (id and text) once; an empty table or benchmark gives no rows; columns
+other than the ids and texts are not looked at.
 """
 
 from __future__ import annotations
@@ -179,24 +181,24 @@ class _Items:
 
 
 def _ids(df: DataFrame, key: str) -> DataFrame:
-    return df.select(F.col(key).cast("bigint").alias("id"), "text")
+    return df.select(F.col(f"`{key}`").cast("bigint").alias("id"), "text")
 
 
-def _hash_rows(df: DataFrame, lengths: list[int] | None = None) -> DataFrame:
-    """id, place and value of every hash: with lengths those of texts, with None those of items."""
+def _hash_rows(texts: DataFrame, lengths: list[int] | None = None) -> DataFrame:
+    """t, place and value of every hash: with lengths those of texts, with None those of items."""
 
     def run(batches):
         for batch in batches:
             _, offs = flat.flatten(batch.column(1))
             for a, b in flat.chunks(offs):
                 t = _Text(batch.column(1).slice(a, b - a))
-                ids = batch.column(0).slice(a, b - a)
+                names = batch.column(0).slice(a, b - a)
                 hashes = t.hashes(lengths) if lengths is not None else [*t.hashes(), *(x[1:] for x in t.pieces())]
                 for own, h in hashes:
                     row = np.searchsorted(t.first, own, "right") - 1
-                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(row)), pa.array(own - t.first[row]), pa.array(h.view(np.int64))], ["id", "place", "value"])
+                    yield pa.RecordBatch.from_arrays([names.take(pa.array(row)), pa.array(own - t.first[row]), pa.array(h.view(np.int64))], ["t", "place", "value"])
 
-    return df.mapInArrow(run, "id bigint, place bigint, value bigint")
+    return texts.select("t", "text").mapInArrow(run, "t string, place bigint, value bigint")
 
 
 def _lengths(items: DataFrame) -> list[int]:
@@ -210,15 +212,29 @@ def _lengths(items: DataFrame) -> list[int]:
     return sorted(r.m for r in items.select("text").mapInArrow(run, "m int").distinct().collect())
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame, max_held: int = MAX_HELD) -> DataFrame:
-    """doc_id, item_id, start_word, end_word, n_equal, n_item_words: the longest overlap of each row and item."""
-    docs, items = _ids(docs, "doc_id"), _ids(benchmark, "item_id").where(F.col("id").isNotNull() & F.col("text").isNotNull()).dropDuplicates()
+def _held(items: DataFrame, max_held: int):
+    """The items as every task holds them, or None if they are too many."""
     words = F.size(F.split("text", r"[^\p{L}\p{N}]+"))
     size = items.select(F.sum(words.cast("bigint")).alias("n")).first().n or 0
     if size * (len(MASKS) + 1) > max_held:  # pieces are one hash for each word at most
-        return _joined(docs, items)
-    rows = items.orderBy("id").collect()  # max_held hashes at most
-    held = docs.sparkSession.sparkContext.broadcast(_Items([r.id for r in rows], [r.text for r in rows]))
+        return None
+    rows = items.orderBy("id", "text").collect()  # max_held hashes at most
+    return items.sparkSession.sparkContext.broadcast(_Items([r.id for r in rows], [r.text for r in rows]))
+
+
+def _items(benchmark: DataFrame) -> DataFrame:
+    return _ids(benchmark, "item_id").where(F.col("text").isNotNull()).dropDuplicates()
+
+
+def overlaps(docs: DataFrame, benchmark: DataFrame, max_held: int = MAX_HELD) -> DataFrame:
+    """doc_id, item_id, start_word, end_word, n_equal, n_item_words: the longest overlap of each row and item."""
+    docs, items = _ids(docs, "doc_id"), _items(benchmark)
+    held = _held(items, max_held)
+    if held is None:
+        found = _joined(docs, items)
+        named = items.select(F.col("id").alias("item_id"), F.md5("text").alias("item_t"))
+        rows = docs.where("text is not null").select(F.col("id").alias("doc_id"), F.md5("text").alias("t")).join(found, "t").join(named, "item_t")
+        return rows.select(*[x.split()[0] for x in _FOUND.split(", ")])
 
     def run(batches):
         own = held.value
@@ -235,11 +251,13 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, max_held: int = MAX_HELD) ->
 
 
 def _joined(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The same for a benchmark of any size: hashes are joined by value, then hits with texts by id."""
-    left, right = _hash_rows(docs, _lengths(items)), _hash_rows(items).select(F.col("id").alias("item_id"), F.col("place").alias("at"), "value")
-    hits = left.join(right, "value").groupBy("id", "item_id", (F.col("place") - F.col("at")).alias("diagonal")).agg(F.count("*").alias("n"))
-    by_pair = store.keep(hits.groupBy("id", "item_id").agg(F.sort_array(F.collect_set("diagonal")).alias("diagonals")), "hits")
-    pairs = by_pair.join(items.select(F.col("id").alias("item_id"), F.col("text").alias("item")), "item_id").join(docs, "id")
+    """t, item_t (MD5 of the texts) and the rest of an overlap, for a benchmark of any size: hashes are joined by value, then hits with texts."""
+    texts = store.keep(docs.where("text is not null").select(F.md5("text").alias("t"), "text").dropDuplicates(["t"]), "distinct-texts")
+    wanted = items.select(F.md5("text").alias("t"), "text").dropDuplicates(["t"])
+    left, right = _hash_rows(texts, _lengths(items)), _hash_rows(wanted).select(F.col("t").alias("item_t"), F.col("place").alias("at"), "value")
+    hits = left.join(right, "value").groupBy("t", "item_t", (F.col("place") - F.col("at")).alias("diagonal")).agg(F.count("*").alias("n"))
+    by_pair = store.keep(hits.groupBy("t", "item_t").agg(F.sort_array(F.collect_set("diagonal")).alias("diagonals")), "hits")
+    pairs = by_pair.join(wanted.select(F.col("t").alias("item_t"), F.col("text").alias("item")), "item_t").join(texts, "t")
 
     def run(batches):
         for batch in batches:
@@ -247,18 +265,38 @@ def _joined(docs: DataFrame, items: DataFrame) -> DataFrame:
             out = []
             for row, diagonals in enumerate(batch.column("diagonals").to_pylist()):
                 doc, item = t.names[t.first[row] : t.first[row + 1]], i.names[i.first[row] : i.first[row + 1]]
-                got = [g for g in (_verify(doc, item, d) for d in diagonals) if g]
-                if got:
-                    out.append((row, *max(got, key=lambda g: (g[2], -g[0])), len(item)))
+                best = None
+                for got in (_verify(doc, item, d) for d in diagonals):
+                    if got and (best is None or got[2] > best[2]):
+                        best = got
+                if best:
+                    out.append((row, *best, len(item)))
             if out:
                 row, *rest = (np.array(x, np.int64) for x in zip(*out))
-                yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(row)), batch.column("item_id").take(pa.array(row)), *map(pa.array, rest)], _FOUND.replace(" bigint", "").split(", "))
+                yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(row)) for c in ("t", "item_t")] + [pa.array(x) for x in rest], ["t", "item_t", "start_word", "end_word", "n_equal", "n_item_words"])
 
-    return pairs.select("id", "item_id", "diagonals", "item", "text").mapInArrow(run, _FOUND)
+    return pairs.select("t", "item_t", "diagonals", "item", "text").mapInArrow(run, "t string, item_t string, start_word bigint, end_word bigint, n_equal bigint, n_item_words bigint")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, max_held: int = MAX_HELD) -> DataFrame:
-    """The rows of docs that overlap with no item, with their own columns; rows with a null doc_id stay."""
-    found = overlaps(docs, benchmark, max_held).select("doc_id").where("doc_id is not null").dropDuplicates()
-    key = F.col("`doc_id`").cast("bigint")
-    return docs.join(found.select(F.col("doc_id").alias("__found")), key == F.col("__found"), "left_anti")
+    """The rows of docs whose text overlaps with no item, with their own columns; each row is judged by its own text, whatever its id."""
+    items, names = _items(benchmark), docs.columns
+    at = names.index("text")
+    plain = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)])
+    held = _held(items, max_held)
+    if held is None:
+        found = _joined(plain.select(F.col(f"c{at}").alias("text")), items).select("t").distinct()
+        left = plain.join(found, F.md5(f"c{at}") == F.col("t"), "left_anti")
+    else:
+
+        def run(batches):
+            own = held.value
+            for batch in batches:
+                _, offs = flat.flatten(batch.column(at))
+                keep = np.ones(batch.num_rows, bool)
+                for a, b in flat.chunks(offs):
+                    keep[[a + f[0] for f in own.find(batch.column(at).slice(a, b - a))]] = False
+                yield batch.filter(pa.array(keep))
+
+        left = plain.mapInArrow(run, plain.schema)
+    return left.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)])
