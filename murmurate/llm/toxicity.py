@@ -23,8 +23,10 @@ from pyspark.sql import functions as F
 from . import flat, labelled
 
 #: Labelled documents of each class that a model is fitted to, at most.
-ROWS = 3000
-BUCKET_BITS, SIZE, WINDOW = 17, 12, 24
+ROWS = 2000
+BUCKET_BITS, SIZE, WINDOW = 17, 12, 12
+#: Mini-batches of the first round and of each other one; rounds; folds for calibration.
+FIRST_STEPS, STEPS, ROUNDS, FOLDS = 500, 150, 4, 3
 _SLOT_BITS = 20
 
 
@@ -182,31 +184,51 @@ class _Trainer:
         return Model(np.where(seen, self.vectors.astype(np.float64) @ way, 0.0), float(self.bias[1] - self.bias[0]))
 
 
-def fit(rows: list[tuple[str, int]], totals: dict[int, int] | None = None, rounds: int = 4) -> Model:
-    """Every fifth row stays out of training and sets the scale and the bias, each class weighing what it has in all (totals)."""
-    rows = [(t, y) for t, y in rows if t and t.strip()]
-    held, rows = rows[::5], [r for i, r in enumerate(rows) if i % 5]
+def _trained(rows: list[tuple[str, int]], first_steps: int = FIRST_STEPS, steps: int = STEPS, rounds: int = ROUNDS) -> Model:
+    """A model whose logits are not calibrated yet. Mini-batches of 16 whole texts, then of 48 worst windows, as many for any sample."""
     y = np.array([v for _, v in rows], np.int64)
-    if len(np.unique(y)) < 2:
-        return Model(np.zeros(1 << BUCKET_BITS), -40.0)
     trainer = _Trainer([t for t, _ in rows], y)
     first = trainer.first
     begin, end = first[:-1], first[1:]
     weight = len(y) / (2 * np.bincount(y, minlength=2))
     for k in range(rounds):
-        for epoch in range(4 if k else 1):
+        left = steps if k else first_steps
+        while left > 0:
             order = trainer.rng.permutation(len(y))
-            for docs in np.array_split(order, max(1, len(y) // (48 if k else 16))):
+            for docs in np.array_split(order, max(1, len(y) // (48 if k else 16)))[:left]:
                 trainer.step(docs, begin[docs], end[docs], weight, 0.02 if k < rounds - 1 else 0.005)
+                left -= 1
         at = trainer.worst(trainer.model())
         begin, end = at, np.minimum(at + WINDOW, first[1:])
-    model = trainer.model()
-    if len({v for _, v in held}) == 2:
-        data, offs = flat.flatten(pa.array([t for t, _ in held], pa.large_string()))
-        top = np.concatenate([model.worst(flat.Words(data[offs[a] : offs[b]], offs[a : b + 1] - offs[a]))[0] for a, b in flat.chunks(offs)])
-        y = np.array([v for _, v in held])
-        share = np.array([(totals or {}).get(v, (y == v).sum()) / (y == v).sum() for v in (0, 1)], float)
-        scale, model.bias = _logistic(top, y.astype(float), share[y] / share[y].mean())
+    return trainer.model()
+
+
+def _top(model: Model, texts: list[str]) -> np.ndarray:
+    data, offs = flat.flatten(pa.array(texts, pa.large_string()))
+    return np.concatenate([model.worst(flat.Words(data[offs[a] : offs[b]], offs[a : b + 1] - offs[a]))[0] for a, b in flat.chunks(offs)])
+
+
+def fit(rows: list[tuple[str, int]], totals: dict[int, int] | None = None) -> Model:
+    """Scale and bias come from all rows, each scored by a model of the other FOLDS - 1 folds; each class weighs what it has in all (totals)."""
+    rows = [(t, y) for t, y in rows if t and t.strip()]
+    y = np.array([v for _, v in rows], np.int64)
+    if len(np.unique(y)) < 2:
+        return Model(np.zeros(1 << BUCKET_BITS), -40.0)
+    fold = np.empty(len(y), np.int64)
+    for v in (0, 1):  # every fold has its share of both classes
+        own = np.flatnonzero(y == v)
+        fold[own] = np.arange(len(own)) % FOLDS
+    top, scored = np.zeros(len(y)), np.zeros(len(y), bool)
+    for k in range(FOLDS):
+        rest, own = np.flatnonzero(fold != k), np.flatnonzero(fold == k)
+        if len(own) and len(np.unique(y[rest])) == 2:
+            top[own] = _top(_trained([rows[i] for i in rest]), [rows[i][0] for i in own])
+            scored[own] = True
+    model = _trained(rows)
+    if len(np.unique(y[scored])) == 2:
+        own = y[scored]
+        share = np.array([(totals or {}).get(v, (own == v).sum()) / (own == v).sum() for v in (0, 1)], float)
+        scale, model.bias = _logistic(top[scored], own.astype(float), share[own] / share[own].mean())
         model.weights *= scale
         model._keys = None
     return model
@@ -223,32 +245,35 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float,
     return max(float(w[0]), 1e-3), float(w[1])
 
 
-def score(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
-    """doc_id, score (higher: toxic likelier), predicted (score >= threshold)."""
-    return _with_scores(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), model, threshold, ["doc_id"])
+def _scores(own: Model, column: pa.Array) -> np.ndarray:
+    data, offs = flat.flatten(column)
+    return np.concatenate([np.zeros(0), *(own.scores(data[offs[a] : offs[b]], offs[a : b + 1] - offs[a]) for a, b in flat.chunks(offs))])
 
 
-def _with_scores(rows: DataFrame, model: Model, threshold: float, names: list[str]) -> DataFrame:
-    held = rows.sparkSession.sparkContext.broadcast(model)  # 2**BUCKET_BITS numbers
-    fields = {f.name: f.dataType.simpleString() for f in rows.schema}
+def score(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
+    """doc_id, score (higher: toxic likelier), predicted (score >= threshold)."""
+    held = docs.sparkSession.sparkContext.broadcast(model)  # 2**BUCKET_BITS numbers
 
     def run(batches):
-        own = held.value
         for batch in batches:
-            data, offs = flat.flatten(batch.column("text"))
-            s = [own.scores(data[offs[a] : offs[b]], offs[a : b + 1] - offs[a]) for a, b in flat.chunks(offs)]
-            s = np.concatenate([np.zeros(0), *s])
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(s), pa.array((s >= threshold).astype(np.int32))], [*names, "score", "predicted"])
+            s = _scores(held.value, batch.column(1))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s), pa.array((s >= threshold).astype(np.int32))], ["doc_id", "score", "predicted"])
 
-    return rows.mapInArrow(run, ", ".join(f"`{n}` {fields[n]}" for n in names) + ", score double, predicted int")
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, score double, predicted int")
 
 
 def reject(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
     """The rows of docs that score below threshold, with their own columns."""
     names = docs.columns
-    plain = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)], F.col("text").alias("text"))
-    scored = _with_scores(plain, model, threshold, [f"c{i}" for i in range(len(names))])
-    return scored.where("predicted = 0").select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)])
+    at = names.index("text")
+    plain = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)])
+    held = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(_scores(held.value, batch.column(at)) < threshold))
+
+    return plain.mapInArrow(run, plain.schema).select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)])
 
 
 def train(docs: DataFrame, labels: DataFrame, learn, rows: int = ROWS) -> Model:
