@@ -9,11 +9,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from murmurate.llm import decontaminate, labelled, neardup, packing, repeats, store, tokens, toxicity
+from murmurate.llm import decontaminate, labelled, neardup, packing, repeats, store, toxicity
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model scores below 0.5."""
+    store.bounded_batches(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = toxicity.train(docs, labels, labelled.remainder("doc_id", 5) != 0)
     return toxicity.reject(docs, model)
@@ -39,7 +40,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row for each piece of a document, with its place in sequences of 2048 tokens."""
-    return packing.pack_documents(docs, tokens.vocabulary("byte_bpe_50k.json"), 1)
+    return packing.pack_documents(docs, "byte_bpe_50k.json", 1)
 
 
 STAGES = [("toxicity", drop_toxic), ("near_duplicates", drop_near_duplicates), ("repeats", cut_repeats), ("decontamination", drop_contaminated), ("packing", pack)]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import backoff, decontaminate, labelled, neardup, packing, quality, repeats, rules, store, tokencount, tokenfile, tokens, toxicity
+from . import backoff, decontaminate, labelled, neardup, packing, quality, repeats, rules, store, tokencount, tokenfile, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,7 +24,7 @@ def op2_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_tokenfile(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = store.new_path(spark, "token-file")
-    tokenfile.write(table(spark, sf_dir, "documents"), path, tokens.vocabulary("word_bpe_49k.json"), True, 2)
+    tokenfile.write(table(spark, sf_dir, "documents"), path, "word_bpe_49k.json", True, 2)
     return tokenfile.read(spark, path, ids=False)
 
 
@@ -39,7 +39,7 @@ def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(table(spark, sf_dir, "documents"), tokens.vocabulary("byte_bpe_50k.json"), 1)
+    return packing.pack_documents(table(spark, sf_dir, "documents"), "byte_bpe_50k.json", 1)
 
 
 def op7_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,7 +59,7 @@ def op9_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_tokencount(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokencount.count_tokens(table(spark, sf_dir, "documents"), tokens.vocabulary("byte_bpe_50k.json"))
+    return tokencount.count_tokens(table(spark, sf_dir, "documents"), "byte_bpe_50k.json")
 
 
 def queries() -> dict:

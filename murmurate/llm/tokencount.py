@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import flat
+from . import flat, tokens
 
 # Classes of characters, where the next two are looked at too.
 LETTER, DIGIT, OTHER, QUOTE1, QUOTE2, GAP, BREAK, SPACES = range(8)
@@ -250,7 +250,7 @@ _counters: dict[str, Counter] = {}
 
 def counter(path: str) -> Counter:
     if path not in _counters:
-        _counters[path] = Counter(path)
+        _counters[path] = Counter(tokens.vocabulary(path))
     return _counters[path]
 
 

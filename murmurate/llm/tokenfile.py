@@ -26,7 +26,7 @@ _SEGMENTS = "part int, place long, doc_ids array<bigint>, n_ids bigint, start bi
 
 
 def write(docs: DataFrame, path: str, tokenizer: str, words: bool, end_id: int) -> None:
-    """tokenizer: a tokenizers file on every machine; words: whether it drops white space; end_id ends each document."""
+    """tokenizer: name of a public tokenizers file, or a path that every machine has; words: whether it drops white space; end_id ends each document."""
 
     def encode(batches):
         part, place, start = TaskContext.get().partitionId(), 0, 0
@@ -64,5 +64,5 @@ def read(spark: SparkSession, path: str, ids: bool = True) -> DataFrame:
                     columns.append(pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(values.astype(np.int64))))
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "n_tokens", "ids_crc32", "ids"][: len(columns)])
 
-    rows = segments.select("part", "doc_ids", "segment", "start").join(before, "part")
+    rows = segments.select("part", "doc_ids", "segment", "start").join(F.broadcast(before), "part")  # a row for each task that wrote
     return rows.select("doc_ids", "segment", (F.col("start") + F.col("before")).alias("start")).mapInArrow(decode, schema)
