@@ -8,9 +8,10 @@ The tables are partitioned by hash and joined to the documents' own n-grams, sum
 2. pairs of two hot words are counted in the same way: the table of hot pairs. Hot is what makes up 1 / hot of all words
    or more, so there are hot such words and as many such pairs at most, however large the corpus. Tasks know both tables;
 3. all other n-grams are exploded, each pair and document of a part of the text once, and dealt by the hash of their
-   previous word, those of hot previous words by the hash of the pair; where they meet, pairs are counted and scored
-   (hot pairs are scored where they stand);
-4. c(word) of pairs that back off is left: a row for each document and word, joined to the word table.
+   word, those of known words by the hash of the pair; where they meet, pairs are counted and scored (hot pairs are
+   scored where they stand);
+4. c(previous) of pairs that were found is left where it isn't known: a row for each document and word, joined to the
+   word table.
 N-grams travel as sorted binary arrays: a row holds those of a part of the text for one group, so there are never more
 rows than n-grams. A group holds some GROUP_WORDS n-grams; of a pair that isn't hot, N / hot at most meet in one.
 
@@ -30,25 +31,37 @@ from . import flat, store
 
 MIN_PAIR, ALPHA = 2, 0.4
 #: N-grams of a group, about; bytes of text whose n-grams are sorted together.
-GROUP_WORDS, CHUNK = 1_000_000, 16_000_000
+GROUP_WORDS, CHUNK = 1_000_000, 12_000_000
 #: Least and most hot words; between, so many that what isn't hot fits a quarter of a group.
 HOT, MOST_HOT = 1_000, 1_000_000
 #: Words that tasks know the count of, at most: those that make up 1 / KNOWN of all or more.
-KNOWN = 100_000
-#: Stand for the word before a text, and the word after it.
-_BEGIN, _END = np.uint64(2), np.uint64(1)  # mix(0) is 0, so not that
-
-
-def _names(column: pa.Array):
-    """Names of words, first word of each text, first row; some MB at a time."""
-    data, offs = flat.flatten(column)
-    for a, b in flat.chunks(offs, CHUNK):
-        parts, first = [], [np.zeros(1, np.int64)]
-        for x, y in flat.chunks(offs[a : b + 1] - offs[a]):
-            w = flat.Words(data[offs[a + x] : offs[a + y]], offs[a + x : a + y + 1] - offs[a + x])
-            parts.append(w.names())
-            first.append(first[-1][-1] + w.first[1:])
-        yield np.maximum(np.concatenate(parts), np.uint64(3)), np.concatenate(first), a
+KNOWN = 500_000
+#: Stands for the word before a text; mix(0) is 0, so not that.
+_BEGIN = np.uint64(1)
+
+
+def _names(batches):
+    """Names of words, first word of each text, and the other columns of these rows; CHUNK bytes of text at a time, from several batches."""
+    names, sizes, rows, held = [], [], [], 0
+
+    def part():
+        whole = pa.Table.from_batches(rows).combine_chunks() if rows[0].num_columns else None
+        return np.maximum(np.concatenate(names), np.uint64(2)), np.append(0, np.cumsum(np.concatenate(sizes))), whole
+
+    for batch in batches:
+        data, offs = flat.flatten(batch.column(0))
+        other = batch.remove_column(0)
+        for x, y in flat.chunks(offs):
+            w = flat.Words(data[offs[x] : offs[y]], offs[x : y + 1] - offs[x])
+            names.append(w.names())
+            sizes.append(np.diff(w.first))
+            rows.append(other.slice(x, y - x))
+            held += int(offs[y] - offs[x])
+            if held >= CHUNK:
+                yield part()
+                names, sizes, rows, held = [], [], [], 0
+    if names:
+        yield part()
 
 
 class _Counts:
@@ -81,11 +94,10 @@ def _counted(docs: DataFrame, which) -> DataFrame:
 
     def run(batches):
         counts = _Counts()
-        for batch in batches:
-            for names, first, _ in _names(batch.column(0)):
-                counts.add(which(names, first))
-                if counts.full():
-                    yield counts.rows()
+        for names, first, _ in _names(batches):
+            counts.add(which(names, first))
+            if counts.full():
+                yield counts.rows()
         yield counts.rows()
 
     return docs.select("text").mapInArrow(run, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
@@ -109,9 +121,11 @@ def _pair(prev: np.ndarray, word: np.ndarray) -> np.ndarray:
 class _Known:
     """Values of sorted keys."""
 
-    def __init__(self, rows: list):
-        pairs = sorted((r[0] % 2**64, r[1]) for r in rows)
-        self.keys, self.n = np.array([k for k, _ in pairs], np.uint64), np.array([n for _, n in pairs], np.float64)
+    def __init__(self, rows: DataFrame):
+        got = rows.toArrow()
+        keys, n = got.column(0).to_numpy().view(np.uint64), got.column(1).to_numpy().astype(np.float64)
+        order = np.argsort(keys)
+        self.keys, self.n = keys[order], n[order]
 
     def of(self, keys: np.ndarray) -> np.ndarray:
         """The value of each key; 0 of those that aren't known."""
@@ -128,74 +142,75 @@ def _hot_scores(docs: DataFrame, words, pairs) -> DataFrame:
     """A row for each row of docs: its words, and the score of its hot pairs."""
 
     def run(batches):
-        for batch in batches:
-            for w, first, row in _names(batch.column(1)):
-                prev = _previous(w, first)
-                n = pairs.value.of(_pair(prev, w))
-                own = np.flatnonzero(n)
-                value = np.zeros(len(w) + 1)
-                value[1:][own] = np.log(n[own]) - np.log(words.value.of(prev[own]))
-                score, size = np.diff(np.cumsum(value)[first]), np.diff(first)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, len(size)), pa.nulls(len(size), pa.int64()), pa.array(np.zeros(len(size), np.int64)), pa.array(score), pa.array(size)], ["doc_id", "word", "due", "score", "n_words"])
+        for w, first, rows in _names(batches):
+            prev = _previous(w, first)
+            n = pairs.value.of(_pair(prev, w))
+            own = np.flatnonzero(n)
+            value = np.zeros(len(w) + 1)
+            value[1:][own] = np.log(n[own]) - np.log(words.value.of(prev[own]))
+            score, size = np.diff(np.cumsum(value)[first]), np.diff(first)
+            ids = rows.column(0).combine_chunks() if rows.num_rows else pa.array([], pa.int64())
+            yield pa.RecordBatch.from_arrays([ids, pa.nulls(len(size), pa.int64()), pa.array(np.zeros(len(size), np.int64)), pa.array(score), pa.array(size)], ["doc_id", "word", "due", "score", "n_words"])
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, _PARTS)
+    return docs.select("text", F.col("doc_id").cast("bigint").alias("doc_id")).mapInArrow(run, _PARTS)
 
 
 def _ngrams(docs: DataFrame, groups: int, words, pairs) -> DataFrame:
-    """group, grams: packed n-grams (previous words, words, documents of each pair and how often)."""
+    """group, grams: packed n-grams (words, previous words, documents of each pair and how often)."""
     step = np.uint64(-(-(2**64) // groups) if groups > 1 else 2**64 - 1)
 
     def run(batches):
-        codec = zstandard.ZstdCompressor(level=1)
-        for batch in batches:
-            ids = batch.column(0)
-            valid = np.asarray(ids.is_valid())
-            plain = np.asarray(ids.fill_null(0)).astype(np.int64)
-            for w, first, row in _names(batch.column(1)):
-                n = np.diff(first)
-                doc = np.repeat(np.arange(len(n)), n)
-                prev = _previous(w, first)
-                last = first[1:][n > 0] - 1  # c(previous) counts a text's last word too
-                prev, w, doc = np.append(prev, w[last]), np.append(w, np.full(len(last), _END)), np.append(doc, np.flatnonzero(n > 0))
-                cold = pairs.value.of(_pair(prev, w)) == 0
-                prev, w, doc = prev[cold], w[cold], doc[cold]
-                # by the previous word; of known ones, and of texts' first words, by the pair
-                by = np.where((prev == _BEGIN) | (words.value.of(prev) > 0), _pair(prev, w), flat.mix(prev))
-                order = np.lexsort((doc, w, by))
-                by, w, prev, doc = by[order], w[order], prev[order], doc[order]
-                group = (by // step).astype(np.int64)
-                new_by = np.append(True, by[1:] != by[:-1])[: len(by)]
-                new_pair = new_by | np.append(True, w[1:] != w[:-1])[: len(by)]
-                new_doc = new_pair | np.append(True, doc[1:] != doc[:-1])[: len(by)]
-                at_doc, at_pair, at_by = (np.flatnonzero(x) for x in (new_doc, new_pair, new_by))
-                times = np.diff(np.append(at_doc, len(by)))
-                begin = np.flatnonzero(np.append(True, group[1:] != group[:-1])[: len(by)])
-                ends = np.append(begin[1:], len(by))
-                d, p, b = (np.searchsorted(x, np.append(begin, len(by))) for x in (at_doc, at_pair, at_by))
-                per_pair, per_by = np.diff(np.append(np.searchsorted(at_doc, at_pair), len(at_doc))), np.diff(np.append(np.searchsorted(at_pair, at_by), len(at_pair)))
-                out = []
-                for k in range(len(begin)):
-                    own, back = np.unique(doc[at_doc[d[k] : d[k + 1]]], return_inverse=True)
-                    light = np.concatenate([per_by[b[k] : b[k + 1]], per_pair[p[k] : p[k + 1]], back, times[d[k] : d[k + 1]]]).astype(np.uint32)
-                    planes = light.view(np.uint8).reshape(-1, 4).T.tobytes()
-                    head = np.array([b[k + 1] - b[k], p[k + 1] - p[k], d[k + 1] - d[k], len(own)], np.uint32).tobytes()
-                    out.append(head + prev[at_by[b[k] : b[k + 1]]].tobytes() + w[at_pair[p[k] : p[k + 1]]].tobytes() + codec.compress(planes + plain[row + own].tobytes() + valid[row + own].astype(np.uint8).tobytes()))
-                yield pa.RecordBatch.from_arrays([pa.array(group[begin], pa.int32()), pa.array(out, pa.binary())], ["group", "grams"])
-
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "group int, grams binary")
+        codec = zstandard.ZstdCompressor(level=3)
+        for w, first, rows in _names(batches):
+            ids = rows.column(0).combine_chunks()
+            valid, plain = np.asarray(ids.is_valid()), np.asarray(ids.fill_null(0)).astype(np.int64)
+            doc, prev = np.repeat(np.arange(len(plain)), np.diff(first)), _previous(w, first)
+            pair = _pair(prev, w)
+            cold = np.flatnonzero(pairs.value.of(pair) == 0)
+            w, prev, doc, pair = w[cold], prev[cold], doc[cold], pair[cold]
+            by = np.where(words.value.of(w) > 0, pair, flat.mix(w))
+            order = np.argsort(pair, kind="stable")  # documents stay in order
+            order = order[np.argsort(by[order], kind="stable")]
+            by, w, prev, doc = by[order], w[order], prev[order], doc[order]
+            del pair, order
+            n = len(by)
+            if not n:
+                continue
+            new_by = np.append(True, by[1:] != by[:-1])
+            new_pair = new_by | np.append(True, prev[1:] != prev[:-1])
+            new_doc = new_pair | np.append(True, doc[1:] != doc[:-1])
+            at_doc, at_pair, at_by = (np.flatnonzero(x) for x in (new_doc, new_pair, new_by))
+            times = np.diff(np.append(at_doc, n))
+            group = (by[at_by] // step).astype(np.int64)
+            head = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+            edges = np.append(at_by[head], n)
+            d, p, b = (np.searchsorted(x, edges) for x in (at_doc, at_pair, at_by))
+            per_pair, per_by = np.diff(np.append(np.searchsorted(at_doc, at_pair), len(at_doc))), np.diff(np.append(np.searchsorted(at_pair, at_by), len(at_pair)))
+            out = []
+            for k in range(len(head)):  # groups that have n-grams here
+                own, back = np.unique(doc[at_doc[d[k] : d[k + 1]]], return_inverse=True)
+                light = np.concatenate([per_by[b[k] : b[k + 1]], per_pair[p[k] : p[k + 1]], back, times[d[k] : d[k + 1]]]).astype(np.uint32)
+                planes = light.view(np.uint8).reshape(-1, 4).T.tobytes()
+                sizes = np.array([b[k + 1] - b[k], p[k + 1] - p[k], d[k + 1] - d[k], len(own)], np.uint32).tobytes()
+                out.append(sizes + w[at_by[b[k] : b[k + 1]]].tobytes() + prev[at_pair[p[k] : p[k + 1]]].tobytes() + codec.compress(planes + plain[own].tobytes() + valid[own].astype(np.uint8).tobytes()))
+                if len(out) == 500 or k == len(head) - 1:
+                    yield pa.RecordBatch.from_arrays([pa.array(group[head[k + 1 - len(out) : k + 1]], pa.int32()), pa.array(out, pa.binary())], ["group", "grams"])
+                    out = []
+
+    return docs.select("text", F.col("doc_id").cast("bigint").alias("doc_id")).mapInArrow(run, "group int, grams binary")
 
 
 def _read(blob: bytes, codec) -> list[np.ndarray]:
-    """Previous word and word of each pair, documents per pair, documents, how often, ids, and whether ids are given."""
+    """Word and previous word of each pair, documents per pair, documents, how often, ids, and whether ids are given."""
     n_by, n_pair, n_doc, n_ids = np.frombuffer(blob, np.uint32, 4).tolist()
-    prev = np.frombuffer(blob, np.uint64, n_by, 16)
-    w = np.frombuffer(blob, np.uint64, n_pair, 16 + 8 * n_by)
+    w = np.frombuffer(blob, np.uint64, n_by, 16)
+    prev = np.frombuffer(blob, np.uint64, n_pair, 16 + 8 * n_by)
     raw = np.frombuffer(codec.decompress(blob[16 + 8 * (n_by + n_pair) :]), np.uint8)
     n = n_by + n_pair + 2 * n_doc
     light = np.ascontiguousarray(raw[: 4 * n].reshape(4, n).T).view(np.uint32).reshape(-1).astype(np.int64)
     per_by, per_pair, doc, times = np.split(light, np.cumsum([n_by, n_pair, n_doc]))
     ids = np.frombuffer(raw[4 * n : 4 * n + 8 * n_ids].tobytes(), np.int64)
-    return [np.repeat(prev, per_by), w, per_pair, doc, times, ids, raw[4 * n + 8 * n_ids :].astype(bool)]
+    return [np.repeat(w, per_by), prev, per_pair, doc, times, ids, raw[4 * n + 8 * n_ids :].astype(bool)]
 
 
 def _scored(grams: DataFrame, words, pairs, total: int, min_pair: int, alpha: float) -> DataFrame:
@@ -204,33 +219,32 @@ def _scored(grams: DataFrame, words, pairs, total: int, min_pair: int, alpha: fl
     def score(key, table):
         codec = zstandard.ZstdDecompressor()
         parts = [_read(b.as_buffer().to_pybytes(), codec) for b in table.column("grams").combine_chunks()]
-        prev, w, per_pair, doc, times = (np.concatenate([p[i] for p in parts]) for i in range(5))
+        w, prev, per_pair, doc, times = (np.concatenate([p[i] for p in parts]) for i in range(5))
         doc += np.repeat(np.cumsum([0] + [len(p[5]) for p in parts[:-1]]), [len(p[3]) for p in parts])
         ids, valid = np.concatenate([p[5] for p in parts]), np.concatenate([p[6] for p in parts])
         del parts
         at = np.repeat(np.arange(len(prev)), per_pair)
         here = np.bincount(at, times, len(prev))
-        name = _pair(prev, w)
-        _, back = np.unique(name, return_inverse=True)
+        _, back = np.unique(_pair(prev, w), return_inverse=True)
         of_pair = np.bincount(back, here)[back]
-        _, back = np.unique(prev, return_inverse=True)
-        known = words.value.of(prev)
-        of_prev = np.where(known > 0, known, np.bincount(back, here)[back])
-        begins, ends = prev == _BEGIN, w == _END
-        found = (of_pair >= min_pair) & ~begins
+        _, back = np.unique(w, return_inverse=True)
         known = words.value.of(w)
-        off = np.where(begins, 0.0, np.log(alpha)) - np.log(total)
-        value = np.where(ends, 0.0, np.where(found, np.log(of_pair) - np.log(of_prev), off + np.log(np.maximum(known, 1))))
-        due = ~found & ~ends & (known == 0)
+        of_word = np.where(known > 0, known, np.bincount(back, here)[back])
+        begins = prev == _BEGIN
+        found = (of_pair >= min_pair) & ~begins
+        known = words.value.of(prev)
+        backed_off = np.log(of_word) - np.log(total) + np.where(begins, 0.0, np.log(alpha))
+        value = np.where(found, np.log(of_pair) - np.log(np.maximum(known, 1)), backed_off)
+        due = found & (known == 0)
         doc_keys, first, back = np.unique(np.where(valid, ids, 0) * 2 + valid, return_index=True, return_inverse=True)
         doc = back[doc]
         doc_ids = pa.array(ids[first], mask=~valid[first])
         sums = np.bincount(doc, value[at] * times, len(first))
         left = np.flatnonzero(due[at])
-        _, one, back = np.unique(flat.mix(w[at[left]] ^ flat.mix(doc[left].astype(np.uint64))), return_index=True, return_inverse=True)
+        _, one, back = np.unique(flat.mix(prev[at[left]] ^ flat.mix(doc[left].astype(np.uint64))), return_index=True, return_inverse=True)
         owed = np.bincount(back, times[left], len(one))
         ids = doc_ids.take(pa.array(np.concatenate([np.arange(len(first)), doc[left[one]]])))
-        word = pa.concat_arrays([pa.nulls(len(first), pa.int64()), pa.array(w[at[left[one]]].view(np.int64))])
+        word = pa.concat_arrays([pa.nulls(len(first), pa.int64()), pa.array(prev[at[left[one]]].view(np.int64))])
         due_of = np.concatenate([np.zeros(len(first)), owed]).astype(np.int64)
         return pa.table([ids, word, pa.array(due_of), pa.array(np.concatenate([sums, np.zeros(len(one))])), pa.array(np.zeros(len(due_of), np.int64))], ["doc_id", "word", "due", "score", "n_words"])
 
@@ -243,20 +257,19 @@ def scores(docs: DataFrame, min_pair: int = MIN_PAIR, alpha: float = ALPHA) -> D
     table = store.keep(word_counts(docs), "word-counts")
     total = table.agg(F.sum("n").alias("n")).first().n or 1
     hot = min(MOST_HOT, max(HOT, total * 4 // GROUP_WORDS))
-    counts = table.where(F.col("n") * max(hot, KNOWN) >= total).collect()  # max(hot, KNOWN) rows at most
-    words = spark.sparkContext.broadcast(_Known(counts))
-    frequent = np.array(sorted(r.word % 2**64 for r in counts if r.n * hot >= total), np.uint64)
+    known = _Known(table.where(F.col("n") * max(hot, KNOWN) >= total))  # max(hot, KNOWN) rows at most
+    words, frequent = spark.sparkContext.broadcast(known), known.keys[known.n * hot >= total]
 
     def hot_pairs(names: np.ndarray, first: np.ndarray) -> np.ndarray:
         prev = _previous(names, first)
         own = np.isin(names, frequent) & np.isin(prev, frequent)
         return _pair(prev[own], names[own])
 
-    pairs = spark.sparkContext.broadcast(_Known(_counted(docs, hot_pairs).where((F.col("n") * hot >= total) & (F.col("n") >= min_pair)).collect()))  # hot rows at most
+    pairs = spark.sparkContext.broadcast(_Known(_counted(docs, hot_pairs).where((F.col("n") * hot >= total) & (F.col("n") >= min_pair))))  # hot rows at most
     grams = _ngrams(docs, max(1, -(-total // GROUP_WORDS)), words, pairs)
     parts = _scored(grams, words, pairs, total, min_pair, alpha)
     owed = parts.join(table.select(F.col("word").alias("of"), "n"), (F.col("word") == F.col("of")) & (F.col("due") > 0), "left")
-    value = F.col("score") + F.when(F.col("due") > 0, F.col("due") * F.log("n")).otherwise(0.0)
+    value = F.col("score") + F.when(F.col("due") > 0, -F.col("due") * F.log("n")).otherwise(0.0)
     whole = _hot_scores(docs, words, pairs).select("doc_id", "score", "n_words")
     sums = owed.select("doc_id", value.alias("score"), "n_words").unionByName(whole).groupBy("doc_id").agg(F.sum("n_words").alias("n_words"), F.sum("score").alias("score"))
     return sums.select("doc_id", "n_words", "score", F.when(F.col("n_words") > 0, F.col("score") / F.col("n_words")).alias("per_word"))
