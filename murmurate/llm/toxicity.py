@@ -6,7 +6,7 @@ softmax are trained jointly. A text's logit is that of its most toxic WINDOW of
 an insult weighs the same in a long text as in a short one. Training begins with whole texts as bags and then takes
 each text's worst window by the model so far.
 
-The sample is bounded (ROWS of each class); scoring reads whole texts of any length. Texts without words (null, empty,
+The sample is bounded (ROWS and BYTES of each class); scoring reads whole texts of any length. Texts without words (null, empty,
 blank) get the bias alone, and without labels of both classes every score is 0. Repeated rows are scored each;
 an empty table gives no rows; columns other than doc_id and text are not looked at.
 """
@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 
 from . import flat, labelled
 
-#: Labelled documents of each class that a model is fitted to, at most.
-ROWS = 2000
+#: Labelled documents of each class that a model is fitted to, and their bytes, at most.
+ROWS, BYTES = 2000, 6_000_000
 BUCKET_BITS, SIZE, WINDOW = 17, 12, 12
 #: Mini-batches of the first round and of each other one; rounds; folds for calibration.
 FIRST_STEPS, STEPS, ROUNDS, FOLDS = 500, 150, 4, 3
@@ -123,6 +123,7 @@ class _Trainer:
             first.append(first[-1][-1] + w.first[1:])
         start, end, names, self.first = (np.concatenate(x) for x in (start, end, names, first))
         _, one, self.word = np.unique(names, return_index=True, return_inverse=True)
+        self.word = self.word.astype(np.int32)
         grams, counts = [], []
         for own in np.array_split(one, max(1, len(one) // 20_000)):  # a part of the distinct words at a time
             buckets, owner = ngrams(self.data, start[own], end[own])
@@ -222,6 +223,7 @@ def fit(rows: list[tuple[str, int]], totals: dict[int, int] | None = None) -> Mo
     for k in range(FOLDS):
         rest, own = np.flatnonzero(fold != k), np.flatnonzero(fold == k)
         if len(own) and len(np.unique(y[rest])) == 2:
+            flat.trim()
             top[own] = _top(_trained([rows[i] for i in rest]), [rows[i][0] for i in own])
             scored[own] = True
     model = _trained(rows)
@@ -277,4 +279,6 @@ def reject(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
 
 
 def train(docs: DataFrame, labels: DataFrame, learn, rows: int = ROWS) -> Model:
-    return fit(*labelled.sample(docs, labels, "toxic", learn, rows))
+    model = fit(*labelled.sample(docs, labels, "toxic", learn, rows, BYTES))
+    flat.trim()
+    return model
