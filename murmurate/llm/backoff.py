@@ -8,7 +8,7 @@ The tables are partitioned by hash and joined to the documents' own n-grams, sum
 2. pairs of two hot words are counted in the same way: the table of hot pairs. Hot is what makes up 1 / hot of all words
    or more, so there are hot such words and as many such pairs at most, however large the corpus. Tasks know both tables;
 3. all other n-grams are exploded, each pair and document of a part of the text once, and dealt by the hash of their
-   word, those of known words by the hash of the pair; where they meet, pairs are counted and scored (hot pairs are
+   word, those of hot words by the hash of the pair; where they meet, pairs are counted and scored (hot pairs are
    scored where they stand);
 4. c(previous) of pairs that were found is left where it isn't known: a row for each document and word, joined to the
    word table.
@@ -155,7 +155,7 @@ def _hot_scores(docs: DataFrame, words, pairs) -> DataFrame:
     return docs.select("text", F.col("doc_id").cast("bigint").alias("doc_id")).mapInArrow(run, _PARTS)
 
 
-def _ngrams(docs: DataFrame, groups: int, words, pairs) -> DataFrame:
+def _ngrams(docs: DataFrame, groups: int, frequent: np.ndarray, pairs) -> DataFrame:
     """group, grams: packed n-grams (words, previous words, documents of each pair and how often)."""
     step = np.uint64(-(-(2**64) // groups) if groups > 1 else 2**64 - 1)
 
@@ -168,7 +168,7 @@ def _ngrams(docs: DataFrame, groups: int, words, pairs) -> DataFrame:
             pair = _pair(prev, w)
             cold = np.flatnonzero(pairs.value.of(pair) == 0)
             w, prev, doc, pair = w[cold], prev[cold], doc[cold], pair[cold]
-            by = np.where(words.value.of(w) > 0, pair, flat.mix(w))
+            by = np.where(np.isin(w, frequent), pair, flat.mix(w))
             order = np.argsort(pair, kind="stable")  # documents stay in order
             order = order[np.argsort(by[order], kind="stable")]
             by, w, prev, doc = by[order], w[order], prev[order], doc[order]
@@ -266,7 +266,7 @@ def scores(docs: DataFrame, min_pair: int = MIN_PAIR, alpha: float = ALPHA) -> D
         return _pair(prev[own], names[own])
 
     pairs = spark.sparkContext.broadcast(_Known(_counted(docs, hot_pairs).where((F.col("n") * hot >= total) & (F.col("n") >= min_pair))))  # hot rows at most
-    grams = _ngrams(docs, max(1, -(-total // GROUP_WORDS)), words, pairs)
+    grams = _ngrams(docs, max(1, -(-total // GROUP_WORDS)), frequent, pairs)
     parts = _scored(grams, words, pairs, total, min_pair, alpha)
     owed = parts.join(table.select(F.col("word").alias("of"), "n"), (F.col("word") == F.col("of")) & (F.col("due") > 0), "left")
     value = F.col("score") + F.when(F.col("due") > 0, -F.col("due") * F.log("n")).otherwise(0.0)
