@@ -225,10 +225,10 @@ def groups(docs: DataFrame, percent: int = 80) -> DataFrame:
 
 
 def _pivots(round_: int) -> list:
-    """Two nodes of a bucket: the one whose buckets hold the most nodes (what others are copies of), and one that a hash picks."""
+    """Nodes of a bucket: the one whose buckets hold the most nodes (what others are copies of), and after the first round one that a hash picks."""
     one = F.struct("node", "n", "root")
     central = F.max_by(one, F.struct(F.when(F.lit(round_ == 0), F.col("weight")).otherwise(F.pmod(F.xxhash64("node", F.lit(round_)), F.col("weight"))), "node"))
-    return [F.array(central, F.min_by(one, F.xxhash64("node", F.lit(-round_)))).alias("pivots")]
+    return [F.array(central, *([F.min_by(one, F.xxhash64("node", F.lit(-round_)))] if round_ else [])).alias("pivots")]
 
 
 def _rest(members: DataFrame) -> DataFrame:
