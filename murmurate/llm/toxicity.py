@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from . import flat, labelled
 
 #: Labelled documents of each class that a model is fitted to, and their bytes, at most.
-ROWS, BYTES = 2000, 6_000_000
+ROWS, BYTES = 2000, 4_000_000
 BUCKET_BITS, SIZE, WINDOW = 17, 12, 12
 #: Mini-batches of the first round and of each other one; rounds; folds for calibration.
 FIRST_STEPS, STEPS, ROUNDS, FOLDS = 500, 150, 4, 3
