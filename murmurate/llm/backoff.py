@@ -31,11 +31,12 @@ from . import flat, store
 
 MIN_PAIR, ALPHA = 2, 0.4
 #: N-grams of a group, about; bytes of text whose n-grams are sorted together.
-GROUP_WORDS, CHUNK = 1_000_000, 12_000_000
+GROUP_WORDS, CHUNK = 1_000_000, 8_000_000
 #: Least and most hot words; between, so many that what isn't hot fits a quarter of a group.
 HOT, MOST_HOT = 1_000, 1_000_000
-#: Words that tasks know the count of, at most: those that make up 1 / KNOWN of all or more.
-KNOWN = 500_000
+#: Words that tasks know the count of: those that occur LEAST_KNOWN times, or twice, four times, ... that where it takes it
+#: to have KNOWN of them at most.
+LEAST_KNOWN, KNOWN = 20, 1_000_000
 #: Stands for the word before a text; mix(0) is 0, so not that.
 _BEGIN = np.uint64(1)
 
@@ -171,8 +172,9 @@ def _ngrams(docs: DataFrame, groups: int, frequent: np.ndarray, pairs) -> DataFr
             by = np.where(np.isin(w, frequent), pair, flat.mix(w))
             order = np.argsort(pair, kind="stable")  # documents stay in order
             order = order[np.argsort(by[order], kind="stable")]
+            del pair
             by, w, prev, doc = by[order], w[order], prev[order], doc[order]
-            del pair, order
+            del order, cold
             n = len(by)
             if not n:
                 continue
@@ -257,8 +259,11 @@ def scores(docs: DataFrame, min_pair: int = MIN_PAIR, alpha: float = ALPHA) -> D
     table = store.keep(word_counts(docs), "word-counts")
     total = table.agg(F.sum("n").alias("n")).first().n or 1
     hot = min(MOST_HOT, max(HOT, total * 4 // GROUP_WORDS))
-    known = _Known(table.where(F.col("n") * max(hot, KNOWN) >= total))  # max(hot, KNOWN) rows at most
-    words, frequent = spark.sparkContext.broadcast(known), known.keys[known.n * hot >= total]
+    times = F.floor(F.log2(F.col("n") / LEAST_KNOWN)).cast("int")
+    sizes = {r.times: r["count"] for r in table.where(F.col("n") >= LEAST_KNOWN).groupBy(times.alias("times")).count().collect()}  # 64 rows at most
+    least = next(k for k in range(64) if sum(n for t, n in sizes.items() if t >= k) <= KNOWN)
+    counts = _Known(table.where((F.col("n") >= LEAST_KNOWN * 2**least) | (F.col("n") * hot >= total)))  # KNOWN + hot rows at most
+    words, frequent = spark.sparkContext.broadcast(counts), counts.keys[counts.n * hot >= total]
 
     def hot_pairs(names: np.ndarray, first: np.ndarray) -> np.ndarray:
         prev = _previous(names, first)
