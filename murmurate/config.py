@@ -22,14 +22,50 @@ class Horizon:
 
 
 HORIZONS = {h.name: h for h in (Horizon("fast", 4, 12, 2, 5.0, 5), Horizon("mid", 8, 27, 2, 5.0, 5), Horizon("deep", 15, 33, 2, 4.0, 8))}
-MIN_COVERAGE, MAD_TO_SIGMA, SEASONAL_DAYS, SEASONAL_LEAST = 0.8, 1.4826, 7, 3
-CANDIDATE_MULTIPLE, CANDIDATE_LIMIT, TOP_PER_MINUTE, MIN_HITS_PER_MINUTE, SAMPLE_EVERY = 4, 1500, 400, 3, 12
-MIN_TERM_OCCURRENCES, MIN_LIFT, TERM_LIMIT, MIN_LINK_SHARE, LINK_LIMIT, CONTRAST_GUARD = 2, 3.0, 6, 0.02, 3, 3
-SIGNATURE, BANDS, NOVELTY_BELOW = 64, 16, 0.4
-MIN_EDGE, CHAIN_SIMILARITY, RECURRENCE_SIMILARITY, RECURRENCE_AGE, CHAIN_GAP = 0.35, 0.3, 0.6, 20 * 3600, 3
-LOOKAHEAD, MIN_SUSTAINED, SUSTAIN, Z_CAP, PRIOR = 3, 2, 0.5, 50.0, 32
-L2, HOLDOUT, MIN_SAMPLES, MIN_POSITIVES = 0.01, 0.7, 150, 20
-LEAD_FROM, LEAD_TO = -6 * 3600, 24 * 3600
+# Fixed values.
+MIN_COVERAGE = 0.8
+MAD_TO_SIGMA = 1.4826
+SEASONAL_DAYS = 7
+SEASONAL_LEAST = 3
+CANDIDATE_MULTIPLE = 4
+CANDIDATE_LIMIT = 1500
+TOP_PER_MINUTE = 400
+MIN_HITS_PER_MINUTE = 3
+SAMPLE_EVERY = 12
+MIN_TERM_OCCURRENCES = 2
+MIN_LIFT = 3.0
+TERM_LIMIT = 6
+MIN_LINK_SHARE = 0.02
+LINK_LIMIT = 3
+CONTRAST_GUARD = 3
+SIGNATURE = 64
+BANDS = 16
+NOVELTY_BELOW = 0.4
+MIN_EDGE = 0.35
+CHAIN_SIMILARITY = 0.3
+RECURRENCE_SIMILARITY = 0.6
+RECURRENCE_AGE = 20 * 3600
+CHAIN_GAP = 3
+LOOKAHEAD = 3
+MIN_SUSTAINED = 2
+SUSTAIN = 0.5
+Z_CAP = 50.0
+PRIOR = 32
+L2 = 0.01
+HOLDOUT = 0.7
+MIN_SAMPLES = 150
+MIN_POSITIVES = 20
+LEAD_FROM = -6 * 3600
+LEAD_TO = 24 * 3600
+CONTRAST_LIMIT = 4000
+REPORT_ALERTS = 2000
+POST_CHARS = 500
+STORY_CHARS = 400
+LIVE_SECONDS = 300
+STALE_CURSOR = 3600
+MATCH_DAYS = 14
+SAMPLE_HOURS = 12
+TERM_HOURS = 72
 
 
 def horizon(name: str) -> Horizon:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import zlib
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -13,44 +14,64 @@ from .lists import EMPTY_WORDS, STOPWORDS
 _EDGE = r"[\w'’]"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once, however often body mentions it."""
+    return F.transform(F.array(value), body)[0]
+
+
+# The tokenizer's patterns.
+_DROPPED = (r"https?://\S+", r"(?U)\b[\w-]+(?:\.[\w-]+)+(?:/\S*)?", r"(?U)@[\w.-]+")
+_WORD = r"#?[a-z][a-z0-9'’_-]{1,29}"
+_NOVELTY_WORD = r"[a-z][a-z']{2,}"
+
+
 def words(text: Column) -> Column:
     """Small-letter words and hashtags, without URLs, hosts and mentions."""
     t = F.lower(text)
-    for pattern in (r"https?://\S+", r"(?U)\b[\w-]+(?:\.[\w-]+)+(?:/\S*)?", r"(?U)@[\w.-]+"):
+    for pattern in _DROPPED:
         t = F.regexp_replace(t, pattern, " ")
-    return F.regexp_extract_all(t, F.lit(r"#?[a-z][a-z0-9'’_-]{1,29}"), 0)
+    return F.regexp_extract_all(t, F.lit(_WORD), 0)
 
 
-def _word_set(items: list[str]) -> Column:
-    return F.array(*map(F.lit, items))
+def is_content(word: Column) -> Column:
+    return F.when(word.startswith("#"), F.length(word) > 2).otherwise((F.length(word) >= 3) & ~F.translate(word, "’", "'").isin(*EMPTY_WORDS))
 
 
-def is_content(word: Column) -> Column:
-    plain = F.translate(word, "’", "'")
-    return F.when(word.startswith("#"), F.length(word) > 2).otherwise((F.length(word) >= 3) & ~F.array_contains(_word_set(EMPTY_WORDS), plain))
+def _neighbours(items: Column) -> Column:
+    n = F.greatest(F.size(items) - 1, F.lit(0))
+    return F.arrays_zip(F.slice(items, 1, n).alias("a"), F.slice(items, 2, n).alias("b"))
 
 
 def extract_terms(text: Column, tags: Column | None = None) -> Column:
     """Content words, pairs of neighbours of which one has content, and hashtags; each once."""
-    w = words(text)
-    single = F.filter(w, is_content)
-    pair = F.transform(F.arrays_zip(F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0))).alias("a"), F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(0))).alias("b")), lambda p: p)
-    fits = F.filter(pair, lambda p: (F.length(p["a"]) >= 2) & (F.length(p["b"]) >= 2) & ~p["a"].startswith("#") & ~p["b"].startswith("#") & (is_content(p["a"]) | is_content(p["b"])))
-    out = F.concat(single, F.transform(fits, lambda p: F.concat_ws(" ", p["a"], p["b"])))
+
+    def of(marked: Column) -> Column:
+        single = F.transform(F.filter(marked, lambda m: m["c"]), lambda m: m["w"])
+        plain = lambda m: (F.length(m["w"]) >= 2) & ~m["w"].startswith("#")
+        pairs = F.filter(_neighbours(marked), lambda p: (p["a"]["c"] | p["b"]["c"]) & plain(p["a"]) & plain(p["b"]))
+        return F.concat(single, F.transform(pairs, lambda p: F.concat_ws(" ", p["a"]["w"], p["b"]["w"])))
+
+    marked = F.transform(words(text), lambda w: F.struct(w.alias("w"), is_content(w).alias("c")))
+    out = let(marked, of)
     if tags is not None:
         out = F.concat(out, F.transform(F.filter(tags, lambda t: F.trim(t) != ""), lambda t: F.concat(F.lit("#"), F.lower(F.trim(t)))))
     return F.array_distinct(F.coalesce(out, F.array().cast("array<string>")))
 
 
 def novelty_words(text: Column) -> Column:
-    return F.filter(F.regexp_extract_all(F.lower(text), F.lit(r"[a-z][a-z']{2,}"), 0), lambda w: ~F.array_contains(_word_set(STOPWORDS), w))
+    return F.filter(F.regexp_extract_all(F.lower(text), F.lit(_NOVELTY_WORD), 0), lambda w: ~w.isin(*STOPWORDS))
 
 
 def shingles(text: Column) -> Column:
     """Neighbouring words; of a text with one word that word."""
-    w = words(text)
-    pairs = F.zip_with(F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0))), F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
-    return F.array_distinct(F.when(F.size(w) < 2, w).otherwise(pairs))
+    pairs = lambda w: F.transform(_neighbours(w), lambda p: F.concat_ws(" ", p["a"], p["b"]))
+    return F.array_distinct(let(words(text), lambda w: F.when(F.size(w) < 2, w).otherwise(pairs(w))))
+
+
+def trend_tokens(text: Column) -> Column:
+    """Words of three letters and more that aren't stop words, and all pairs of neighbours; each once."""
+    of = lambda w: F.concat(F.filter(w, lambda x: (F.length(x) >= 3) & ~x.isin(*STOPWORDS)), F.transform(_neighbours(w), lambda p: F.concat_ws(" ", p["a"], p["b"])))
+    return F.array_distinct(let(words(text), of))
 
 
 def phrase_pattern(phrases: list[str]) -> str:
@@ -96,15 +117,38 @@ def _seed_prefixes(n: int) -> list[str]:
     return out
 
 
+#: Bytes up to which an item's checksums follow from its first one.
+_SHORT = 192
+
+
+def _shifts(prefixes: list[str]) -> list[list[int]]:
+    """[seed][length]: what the checksum begun at the seed differs by from that begun at 0, for any item of that length."""
+    out = []
+    for p in prefixes:
+        now, first = zlib.crc32(bytes.fromhex(p)), zlib.crc32(bytes.fromhex(prefixes[0]))
+        row = []
+        for _ in range(_SHORT + 1):
+            row.append(now ^ first)
+            now, first = zlib.crc32(b"\0", now), zlib.crc32(b"\0", first)
+        out.append(row)
+    return out
+
+
 def minhash(items: Column, size: int = config.SIGNATURE) -> Column:
-    """Least crc32 of the items for each of size seeds; of nothing, all bits set."""
+    """Least crc32 of the items for each of size seeds; of nothing, all bits set. A checksum is linear: an item is read once,
+    and its other checksums differ from the first by what its length alone decides."""
+    prefixes = _seed_prefixes(size)
+    from_seed = lambda p, x: F.crc32(F.concat(F.unhex(F.lit(p)), x))
     raw = F.transform(items, lambda x: F.encode(x, "utf-8"))
+    known = F.transform(raw, lambda x: F.struct(from_seed(prefixes[0], x).alias("c"), F.length(x).alias("n"), F.when(F.length(x) > _SHORT, x).alias("long")))
 
-    def least_of(prefix: str) -> Column:
-        return F.array_min(F.transform(raw, lambda x: F.crc32(F.concat(F.unhex(F.lit(prefix)), x))))
+    def least_of(rows: Column, prefix: str, shift: list[int]) -> Column:
+        by_length = F.array(*map(F.lit, shift)).cast("array<bigint>")
+        one = lambda r: F.when(r["n"] <= _SHORT, r["c"].bitwiseXOR(F.get(by_length, r["n"]))).otherwise(from_seed(prefix, r["long"]))
+        return F.coalesce(F.array_min(F.transform(rows, one)), F.lit(0xFFFFFFFF)).cast("bigint")
 
-    least = [least_of(p) for p in _seed_prefixes(size)]
-    return F.array(*[F.coalesce(x, F.lit(0xFFFFFFFF)).cast("bigint") for x in least])
+    shifts = _shifts(prefixes)
+    return let(known, lambda rows: F.array(*[least_of(rows, p, s) for p, s in zip(prefixes, shifts)]))
 
 
 def similarity(a: Column, b: Column) -> Column:

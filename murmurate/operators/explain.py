@@ -37,10 +37,27 @@ def inside(spikes: DataFrame, posts: DataFrame, bucket: int, limit: int, term: b
     return rows.where(hit).withColumn("rank", rank).where(F.col("rank") <= limit).drop("rank")
 
 
-def outside(posts: DataFrame, start: int, end: int, guard: int, limit: int) -> DataFrame:
-    """The contrast of one spike: the newest posts before it; if those are under half of limit, filled up with the oldest after it."""
-    early = posts.where(F.col("ts") < start - guard).orderBy(F.desc("ts"), F.desc("rkey")).limit(limit)
-    n = early.count()
-    if n >= limit / 2:
-        return early
-    return early.unionByName(posts.where(F.col("ts") >= end + guard).orderBy("ts", "rkey").limit(limit - n))
+def outside(spikes: DataFrame, posts: DataFrame, guard: int, limit: int) -> DataFrame:
+    """The contrast of every spike at once: spikes (spike, subject, start, end) meet posts (subject, ts, rkey) of their subject.
+
+    The newest posts before it; if those are under half of limit, filled up with the oldest after it."""
+    own = Window.partitionBy("spike")
+    rows = spikes.select("spike", "subject", "start", "end").join(posts, "subject")
+    rows = rows.withColumn("before", F.col("ts") < F.col("start") - guard).where(F.col("before") | (F.col("ts") >= F.col("end") + guard))
+    age = F.when(F.col("before"), -F.col("ts")).otherwise(F.col("ts"))
+    rank = F.row_number().over(Window.partitionBy("spike", "before").orderBy(age, F.when(F.col("before"), F.lit("")).otherwise(F.col("rkey")), F.desc("rkey")))
+    rows = rows.withColumns({"rank": rank, "n_before": F.least(F.count_if("before").over(own), F.lit(limit))})
+    after = (F.col("n_before") < F.lit(limit // 2)) & (F.col("rank") <= F.lit(limit) - F.col("n_before"))
+    return rows.where(F.when(F.col("before"), F.col("rank") <= limit).otherwise(after)).drop("rank", "n_before", "start", "end")
+
+
+def explained(spikes: DataFrame, posts: DataFrame, guard: int, limit: int = config.CONTRAST_LIMIT) -> DataFrame:
+    """spike, terms, links: what each spike's posts have that its subject's other posts have not, and what they link to."""
+    here = spikes.select("spike", "subject", "start", "end").join(posts, "subject").where("ts >= start and ts < end").select("spike", "subject", F.lit(True).alias("inside"), "text", "links")
+    there = outside(spikes, posts, guard, limit).select("spike", "subject", F.lit(False).alias("inside"), "text", "links")
+    words = distinctive(here.unionByName(there)).join(spikes.select("spike", "subject"), "spike").where("word != subject")
+    terms = words.groupBy("spike").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "word"))), lambda x: x["word"]).alias("terms"))
+    links = top_links(here).groupBy("spike").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "url"))), lambda x: x["url"]).alias("links"))
+    none = F.array().cast("array<string>")
+    out = spikes.select("spike").join(terms, "spike", "left").join(links, "spike", "left")
+    return out.select("spike", F.coalesce("terms", none).alias("terms"), F.coalesce("links", none).alias("links"))

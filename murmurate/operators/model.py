@@ -24,13 +24,18 @@ def features(rows: DataFrame, minutes: int, kind: str) -> DataFrame:
     angle = F.floor(F.col("start") / 3600) % 24 * (2 * math.pi / 24)
     size = lambda c: F.size(c).cast("double") if c in rows.columns else F.lit(0.0)
     made = {
-        "log_hits": F.log1p("hits"), "zscore_capped": F.least(F.col("zscore"), F.lit(config.Z_CAP)), "log_multiple": F.log1p("multiple"), "baseline_silent": (F.col("baseline") <= 0).cast("double"),
+        "log_hits": F.log1p("hits"), "zscore": F.least(F.col("zscore"), F.lit(config.Z_CAP)), "log_multiple": F.log1p("multiple"), "baseline_silent": (F.col("baseline") <= 0).cast("double"),
         "share_per_mille": F.col("share") * 1000, "is_term": F.lit(float(kind == "term")), "is_multiword": F.col("subject").contains(" ").cast("double"), "is_hashtag": F.col("subject").startswith("#").cast("double"),
         "n_terms": size("terms"), "n_links": size("links"), "log_bucket_minutes": F.lit(math.log1p(minutes)), "log_window_posts": F.log1p("total"), "hour_sin": F.sin(angle), "hour_cos": F.cos(angle),
     }
     return rows.withColumns(made)
 
 
+def accuracy(rows: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
+    """The share of rows on the right side of 0.5."""
+    return rows.agg(F.avg(((F.col(score) >= 0.5).cast("int") == F.col(label)).cast("double")).alias("accuracy"))
+
+
 def persistence(series: DataFrame, scored: DataFrame) -> DataFrame:
     """label: 1 if at least 2 of the next 3 usable buckets keep half of the excess; null where the future is not known or there is no excess."""
     usable = series.where(F.col("coverage") >= config.MIN_COVERAGE)
@@ -82,12 +87,14 @@ def fit(rows: DataFrame, columns: list[str], order: str = "start") -> tuple[dict
     total = sum(n.values())
     if total < config.MIN_SAMPLES or min(n.get(0, 0), n.get(1, 0)) < config.MIN_POSITIVES:
         return None, f"{total} rows, {n.get(1, 0)} of them held: {config.MIN_SAMPLES} rows and {config.MIN_POSITIVES} of each class are needed"
-    cut = rows.approxQuantile(order, [config.HOLDOUT], 0.0)[0]
-    model, test = train(rows, columns), rows.where(F.col(order) > cut)
+    cut = int(total * config.HOLDOUT)  # ties are cut too, in the order of the other columns; spikes are few
+    place = F.row_number().over(Window.orderBy(order, *[c for c in ("mode", "kind", "subject") if c in rows.columns]))
+    ranked = rows.withColumn("place", place)
+    model, test, early = train(rows, columns), ranked.where(F.col("place") > cut), ranked.where(F.col("place") <= cut)
     held = {r.label: r["count"] for r in test.groupBy("label").count().collect()}
-    early = rows.where(F.col(order) <= cut)
     if sum(held.values()) >= 30 and len(held) == 2 and early.select("label").distinct().count() == 2:
-        model["holdout_auc"] = auc(predict(test, train(early, columns))).first().auc
+        model["holdout_auc"] = round(auc(predict(test, train(early, columns))).first().auc, 3)
+    model["holdout_size"] = sum(held.values())
     return model, ""
 
 
@@ -110,5 +117,13 @@ def load(path: str) -> dict | None:
         return None
 
 
+def info(model: dict | None) -> dict:
+    """What is told of a model: whether there is one, what it was trained on, and its weights, largest first."""
+    if model is None:
+        return {"trained": False}
+    known = {k: model.get(k) for k in ("trained_on", "positives", "holdout_auc", "holdout_size")}
+    return {"trained": True, **known, "weights": top_factors(model, len(model["columns"]))}
+
+
 def top_factors(model: dict, n: int = 5) -> list[tuple[str, float]]:
     return sorted(zip(model["columns"], model["weights"]), key=lambda x: -abs(x[1]))[:n]

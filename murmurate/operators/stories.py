@@ -66,6 +66,15 @@ def communities(term_posts: DataFrame) -> DataFrame:
     return terms.join(links, "window", "left").mapInPandas(lambda it: (cluster(p) for p in it), "window bigint, cluster bigint, terms array<string>")
 
 
+def cluster_alerts(members: DataFrame) -> DataFrame:
+    """members: mode, start, cluster, subject, hits, zscore, confidence, links (separated by spaces). Each cluster's terms, summed hits, the
+    score and subject of its peak, the largest known confidence, and the first three links, the peak's first."""
+    order = F.struct(-F.col("zscore"), F.col("subject"))
+    by_peak = F.transform(F.array_sort(F.collect_list(F.struct(order.alias("o"), F.coalesce("links", F.lit("")).alias("links")))), lambda x: F.split(x["links"], " "))
+    links = F.slice(F.array_distinct(F.filter(F.flatten(by_peak), lambda u: u != "")), 1, 3)
+    return members.groupBy("mode", "start", "cluster").agg(F.sort_array(F.collect_set("subject")).alias("terms"), F.sum("hits").alias("hits"), F.max("zscore").alias("zscore"), F.min_by("subject", order).alias("peak"), F.max("confidence").alias("confidence"), links.alias("links"))
+
+
 def chain(clusters: DataFrame, bucket: int) -> DataFrame:
     """clusters: mode, start, terms, hits, zscore. Stories: (mode, key) with span and recurrence; the order of time makes this one pass a mode."""
 

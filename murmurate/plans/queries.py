@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .. import config
 from ..functions import text as T
 from ..functions.lists import EMPTY_WORDS, STOPWORDS
-from ..operators import counters, detector, explain, model, stories, tables
+from ..operators import counters, detector, explain, model, passes, reads, stories, tables
 
 UNIT, DOC_TIME = 3600, 1704067200
 TOPICS = [{"name": "license", "phrases": ["license", "rights reserved"], "langs": []}, {"name": "the", "phrases": ["the"], "langs": ["en"]}, {"name": "und", "phrases": ["und", "der die"], "langs": ["de"]}, {"name": "tion", "phrases": ["tion"], "langs": []}]
@@ -188,12 +188,12 @@ def distinctive_terms(spark, sf):
     return explain.distinctive(rows).select("word", "cin", F.round(F.log10("lift"), 6).alias("log_lift"))
 
 
-@_query(r"""WITH p AS (SELECT page_id % 7 AS spike, list_distinct(list_append(regexp_extract_all(html, 'https?://[^\s"''<>]+'), url)) AS urls FROM pages), c AS (SELECT spike, url, count(*) AS n FROM (SELECT spike, unnest(urls) AS url FROM p) GROUP BY 1, 2),
+@_query(r"""WITH p AS (SELECT page_id % 7 AS spike, list_distinct(list_append(regexp_extract_all(html, 'https?://[^/\s"''<>]+'), regexp_extract(url, 'https?://[^/\s]+'))) AS urls FROM pages), c AS (SELECT spike, url, count(*) AS n FROM (SELECT spike, unnest(urls) AS url FROM p) GROUP BY 1, 2),
 f AS (SELECT spike, greatest(2, floor(count(*) * 0.02))::BIGINT AS floor FROM p GROUP BY spike)
 SELECT spike, url, n FROM (SELECT *, row_number() OVER (PARTITION BY spike ORDER BY n DESC, url) AS r FROM c) JOIN f USING (spike) WHERE r <= 3 AND n >= floor""")
 def top_links(spark, sf):
-    found = F.regexp_extract_all("html", F.lit(r"""https?://[^\s"'<>]+"""), 0)
-    rows = _read(spark, sf, "pages", "page_id", "url", "html").select((F.col("page_id") % 7).alias("spike"), F.array_join(F.concat(found, F.array("url")), " ").alias("links"))
+    found = F.regexp_extract_all("html", F.lit(r"""https?://[^/\s"'<>]+"""), 0)
+    rows = _read(spark, sf, "pages", "page_id", "url", "html").select((F.col("page_id") % 7).alias("spike"), F.array_join(F.concat(found, F.array(F.regexp_extract("url", r"https?://[^/\s]+", 0))), " ").alias("links"))
     return explain.top_links(rows).select("spike", "url", "n")
 
 
@@ -322,18 +322,180 @@ def merge_events(spark, sf):
     return tables.merge_events(part(0), part(1)).drop("mode")
 
 
-@_query(f"""{_scored_sql(FAST)}, tr AS (SELECT item_id AS topic, (SELECT min(start) FROM z) + item_id * 7200 AS first_seen, ['add_to_cart', 'view', 'click', 'purchase', 'signup', 'error', 'login'] AS wanted FROM benchmark),
-m AS (SELECT tr.topic, arg_min(z.start, (z.start, -zscore, subject)) AS bucket, arg_min(z.subject, (z.start, -zscore, subject)) AS subject FROM tr JOIN z ON list_contains(wanted, z.subject) AND first_seen - z.start BETWEEN -21600 AND 86400 AND zscore >= 1 AND hits >= 5 AND share > baseline GROUP BY 1)
-SELECT tr.topic, first_seen, m.subject, round((first_seen - m.bucket) / 60.0, 1)::DOUBLE AS lead_minutes FROM tr LEFT JOIN m USING (topic)""")
-def trend_benchmark(spark, sf):
+_TREND = rf"""{_scored_sql(FAST)}, al AS (SELECT start AS bucket, subject, lower(subject) AS plain, zscore, ['the', lower(subject)] AS terms FROM z WHERE zscore >= 1 AND hits >= 5 AND share > baseline),
+tw AS (SELECT item_id AS topic, (SELECT min(start) FROM z) + item_id * 7200 AS first_seen, regexp_extract_all(regexp_replace(regexp_replace(regexp_replace(lower(text || ' ' || ['#click view', 'purchase error', 'none'][1 + item_id % 3]), 'https?://\S+', ' ', 'g'), '[\p{{L}}\p{{N}}_-]+(?:\.[\p{{L}}\p{{N}}_-]+)+(?:/\S*)?', ' ', 'g'), '@[\p{{L}}\p{{N}}_.-]+', ' ', 'g'), '#?[a-z][a-z0-9''’_-]{{1,29}}') AS ws FROM benchmark),
+tr AS (SELECT topic, first_seen, list_distinct(list_filter(ws, lambda w: length(w) >= 3 AND w NOT IN ({_list(STOPWORDS)})) || list_transform(range(1, len(ws)), lambda k: ws[k] || ' ' || ws[k + 1])) AS wanted FROM tw),
+hh AS (SELECT tr.*, al.*, len(list_intersect(list_distinct(al.terms), wanted)) AS o FROM tr JOIN al ON first_seen - bucket BETWEEN -21600 AND 86400),
+g AS (SELECT *, list_contains(wanted, plain) AND (contains(plain, ' ') OR o >= 1) AS s FROM hh),
+m AS (SELECT topic, arg_min(bucket, (bucket, -zscore, subject)) AS bucket, arg_min(subject, (bucket, -zscore, subject)) AS subject, arg_min(CASE WHEN s THEN 'subject' ELSE 'terms' END, (bucket, -zscore, subject)) AS basis FROM g WHERE s OR o >= 2 GROUP BY 1),
+r AS (SELECT tr.topic, first_seen, m.subject, m.basis, round_even((first_seen - m.bucket) / 60.0, 0)::DOUBLE AS lead_minutes FROM tr LEFT JOIN m USING (topic))"""
+
+
+def _trend_report(spark, sf) -> DataFrame:
+    """Benchmark items stand for trends: their texts and a few event types are what they are about."""
     scored = detector.score(_series(spark, sf, FAST), FAST)
     start = scored.agg(F.min("start").alias("s"))
-    wanted = F.array(*map(F.lit, ["add_to_cart", "view", "click", "purchase", "signup", "error", "login"]))
-    trends = _read(spark, sf, "benchmark", "item_id").crossJoin(F.broadcast(start)).select(F.col("item_id").alias("topic"), (F.col("s") + F.col("item_id") * 7200).alias("first_seen"), wanted.alias("wanted"))
-    alerts = scored.where(detector.is_spike(FAST, 1.0)).select(F.col("start").alias("bucket"), "subject", F.array("subject").alias("terms"), "zscore")
+    more = F.element_at(F.array(*map(F.lit, ["#click view", "purchase error", "none"])), (F.col("item_id") % 3 + 1).cast("int"))
+    text = F.concat_ws(" ", "text", more)
+    trends = _read(spark, sf, "benchmark", "item_id", "text").crossJoin(F.broadcast(start)).select(F.col("item_id").alias("topic"), (F.col("s") + F.col("item_id") * 7200).alias("first_seen"), T.trend_tokens(text).alias("wanted"))
+    alerts = scored.where(detector.is_spike(FAST, 1.0)).select(F.col("start").alias("bucket"), "subject", F.array(F.lit("The"), F.concat(F.lit("#"), "subject")).alias("terms"), "zscore")
     return tables.trend_report(trends, alerts)
 
 
+@_query(f"{_TREND} SELECT * FROM r")
+def trend_benchmark(spark, sf):
+    return _trend_report(spark, sf).withColumn("lead_minutes", F.col("lead_minutes").cast("double"))
+
+
+@_query(f"{_TREND} SELECT count(*) AS trends_tracked, count(subject) AS matched, round_even(count(subject)::DOUBLE / count(*), 3) AS coverage, round_even(median(lead_minutes), 1) AS median_lead_minutes, max(lead_minutes)::BIGINT AS best_lead_minutes FROM r")
+def benchmark_report(spark, sf):
+    return tables.trend_summary(_trend_report(spark, sf))
+
+
+def _hits_of(spark, sf) -> tuple[DataFrame, dict[str, DataFrame]]:
+    e = events(spark, sf)
+    return counters.totals(e), {"topic": counters.topic_hits(e), "term": counters.term_hits(e)}
+
+
+def _runs_sql(columns: str, where: str) -> str:
+    parts = []
+    for h in config.HORIZONS.values():
+        for kind, count in (("topic", "count(*)"), ("term", "count(DISTINCT user_id)")):
+            sql = _scored_sql(h)
+            if kind == "term":  # distinct authors in each unit; subjects with few hits are no candidates
+                sql = sql.replace("h AS (SELECT subject, unit - unit", f"hu AS (SELECT unit, subject, {count} AS n FROM u GROUP BY 1, 2), h AS (SELECT subject, unit - unit").replace("count(*) AS hits FROM u GROUP BY 1, 2)", "sum(n)::BIGINT AS hits FROM hu GROUP BY 1, 2)")
+                sql = sql.replace("(SELECT DISTINCT subject FROM u)", f"(SELECT subject FROM hu GROUP BY 1 HAVING sum(n) >= {h.min_hits * config.CANDIDATE_MULTIPLE})")
+            parts.append(f"SELECT * FROM ({sql.format(mode=h.name)} SELECT '{h.name}' AS mode, '{kind}' AS kind, {columns} FROM z WHERE {where.format(h=h)} AND (SELECT count(DISTINCT unit) FROM u) >= {h.warmup})")
+    return " UNION ALL ".join(parts)
+
+
+@_query(_runs_sql("subject, start, hits, total, round(zscore, 6) AS zscore", "zscore >= 2 AND hits >= {h.min_hits} AND share > baseline"))
+def detection_runs(spark, sf):
+    """All horizons and kinds, at a threshold that these quiet tables reach."""
+    rows = passes.run(*_hits_of(spark, sf), UNIT, z=2.0)
+    return rows.select("mode", "kind", "subject", "start", "hits", "total", F.round("zscore", 6).alias("zscore"))
+
+
+@_query(None)
+def training_set(spark, sf):
+    """Spikes of all horizons and kinds with label and all features."""
+    rows = passes.dataset(*_hits_of(spark, sf), UNIT, z=1.0)
+    return rows.select("mode", "kind", "subject", "start", "label", *[F.round(c, 6).alias(c) for c in model.FEATURES])
+
+
+@_query(f"{_ALERTS.replace('zscore >= 1 AND', 'zscore >= 1 AND hits >= 5 AND')}, tt AS (SELECT count(DISTINCT unit) AS minutes FROM u), k(mode, warmup) AS (VALUES ('fast', 60::BIGINT), ('mid', 240::BIGINT), ('deep', 540::BIGINT)) SELECT mode, warmup, minutes, minutes >= warmup AS ready, greatest(0, warmup - minutes)::BIGINT AS minutes_remaining, (SELECT count(*) FROM al WHERE al.mode = k.mode) AS alerts FROM k CROSS JOIN tt")
+def horizons_and_alerts(spark, sf):
+    return reads.horizons(counters.totals(events(spark, sf)), _alerts(spark, sf))
+
+
+@_query(f"{_EV} SELECT count(DISTINCT unit) AS minutes_collected, round_even(count(DISTINCT unit) / 60, 2) AS hours_collected, count(*) AS posts_scanned, min(unit) AS first_minute, max(unit) AS last_minute, true AS collecting, 4000000000 - max(unit) AS lag_seconds, count(DISTINCT unit) >= 60 AS ready_for_detection, greatest(0, 60 - count(DISTINCT unit)) AS minutes_needed, count(DISTINCT subject) AS terms, (SELECT count(*) FROM documents) AS samples FROM u")
+def corpus_stats(spark, sf):
+    e = events(spark, sf)
+    return reads.stats(counters.totals(e), 4000000000, 4000000000 - 10, terms=e.select(F.col("subject").alias("term")), samples=_read(spark, sf, "documents", "doc_id"))
+
+
+@_query(f"{_EV}, k(name) AS (VALUES ('click'), ('view'), ('never')) SELECT name, (SELECT count(*) FROM u WHERE subject = name) AS total_hits FROM k")
+def topic_totals(spark, sf):
+    return reads.topics(spark.createDataFrame([("click",), ("view",), ("never",)], "name string"), counters.topic_hits(events(spark, sf)))
+
+
+@_query(f"{_frame_sql(FAST)} SELECT start AS t, hits, total, round(share, 9) AS share, round_even(coverage, 3) AS coverage FROM (SELECT *, row_number() OVER (ORDER BY start DESC) AS r FROM s WHERE subject = 'click') WHERE r <= 20")
+def topic_series(spark, sf):
+    return reads.series(_series(spark, sf, FAST), "click", 20).withColumn("share", F.round("share", 9))
+
+
+_SHOWN = "ts, did, doc_id::VARCHAR AS rkey, lang, substr(text, 1, 500) AS text, 'https://bsky.app/profile/' || did || '/post/' || doc_id AS url"
+
+
+def _samples(spark, sf) -> DataFrame:
+    return posts(spark, sf).select("ts", "did", F.col("doc_id").cast("string").alias("rkey"), "lang", "text", F.col("lang").alias("subject"), F.lit("").alias("links"))
+
+
+@_query(f"{_PO} SELECT {_SHOWN} FROM d WHERE ts >= {DOC_TIME + 60} AND ts < {DOC_TIME + 1200} AND contains(lower(text), 'tion') ORDER BY ts, doc_id::VARCHAR LIMIT 40")
+def term_posts(spark, sf):
+    return reads.term_posts(_samples(spark, sf), "#Tion", 40, 0, DOC_TIME + 60, DOC_TIME + 1200)
+
+
+@_query(f"{_PO} SELECT {_SHOWN} FROM d WHERE lang = 'de' ORDER BY ts DESC, doc_id::VARCHAR LIMIT 30")
+def topic_posts(spark, sf):
+    return reads.topic_posts(_samples(spark, sf), "de", 30)
+
+
+def _language_spikes(spark, sf) -> DataFrame:
+    """A language's posts in every fourth bucket stand for a spike."""
+    width = FAST.units * 60
+    rows = _samples(spark, sf).where("ts is not null and subject is not null").select("subject", (F.col("ts") - F.col("ts") % width).alias("start")).distinct().where(F.col("start") / width % 4 == 0)
+    return rows.select(F.concat_ws("@", "subject", "start").alias("spike"), "subject", "start", (F.col("start") + width).alias("end"))
+
+
+@_query(f"""{_PO}, p AS (SELECT ts, lang, doc_id::VARCHAR AS rkey FROM d WHERE lang IS NOT NULL), k AS (SELECT DISTINCT lang, ts - ts % 240 AS start FROM p WHERE (ts - ts % 240) / 240 % 4 = 0),
+j AS (SELECT k.lang || '@' || start AS spike, rkey, ts, ts < start - 720 AS b FROM k JOIN p ON p.lang = k.lang AND (ts < start - 720 OR ts >= start + 240 + 720)),
+n AS (SELECT *, row_number() OVER (PARTITION BY spike, b ORDER BY CASE WHEN b THEN -ts ELSE ts END, rkey) AS r, least(count(*) FILTER (b) OVER (PARTITION BY spike), 40) AS nb FROM j)
+SELECT spike, count(*) FILTER (b) AS before, count(*) FILTER (NOT b) AS after, min(ts) AS first_ts, max(ts) AS last_ts FROM n WHERE CASE WHEN b THEN r <= 40 ELSE nb < 20 AND r <= 40 - nb END GROUP BY spike""")
+def spike_contrast(spark, sf):
+    rows = explain.outside(_language_spikes(spark, sf), _samples(spark, sf), config.CONTRAST_GUARD * FAST.units * 60, 40)
+    return rows.groupBy("spike").agg(F.count_if("before").alias("before"), F.count_if(~F.col("before")).alias("after"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
+
+
+@_query(None)
+def explained_spikes(spark, sf):
+    found = explain.explained(_language_spikes(spark, sf), _samples(spark, sf), config.CONTRAST_GUARD * FAST.units * 60)
+    return found.select("spike", F.array_join("terms", ",").alias("terms"), F.array_join("links", " ").alias("links"))
+
+
+@_query("""WITH m AS (SELECT o_custkey % 50 AS cluster, o_orderkey::VARCHAR AS subject, o_orderkey % 7 + 1 AS hits, o_totalprice AS zscore, CASE WHEN o_orderkey % 3 = 0 THEN o_totalprice / 2 END AS confidence FROM orders)
+SELECT cluster, sum(hits)::BIGINT AS hits, max(zscore) AS zscore, arg_min(subject, (-zscore, subject)) AS peak, max(confidence) AS confidence, count(DISTINCT subject) AS n_terms FROM m GROUP BY cluster""")
+def story_members(spark, sf):
+    rows = _read(spark, sf, "orders", "o_custkey", "o_orderkey", "o_totalprice")
+    rows = rows.select(F.lit("fast").alias("mode"), F.lit(0).alias("start"), (F.col("o_custkey") % 50).alias("cluster"), F.col("o_orderkey").cast("string").alias("subject"), (F.col("o_orderkey") % 7 + 1).cast("bigint").alias("hits"), F.col("o_totalprice").alias("zscore"), F.when(F.col("o_orderkey") % 3 == 0, F.col("o_totalprice") / 2).alias("confidence"), F.lit("").alias("links"))
+    return stories.cluster_alerts(rows).select("cluster", "hits", "zscore", "peak", "confidence", F.size("terms").cast("bigint").alias("n_terms"))
+
+
+_ORDERS = "WITH e AS (SELECT o_custkey::VARCHAR AS key, 'fast' AS mode, max(o_orderkey) AS last_bucket, max(o_totalprice) AS zscore FROM orders GROUP BY 1)"
+
+
+@_query(f"{_ORDERS} SELECT * FROM e ORDER BY last_bucket DESC, zscore DESC, key LIMIT 60")
+def events_list(spark, sf):
+    rows = _read(spark, sf, "orders", "o_custkey", "o_orderkey", "o_totalprice").groupBy(F.col("o_custkey").cast("string").alias("key")).agg(F.lit("fast").alias("mode"), F.max("o_orderkey").alias("last_bucket"), F.max("o_totalprice").alias("zscore"))
+    return tables.list_events(rows, 60, "fast")
+
+
+@_query("SELECT item_id AS topic, 7 * (item_id % 5) AS first_seen FROM benchmark ORDER BY 2 DESC, 1 LIMIT 20")
+def trends_list(spark, sf):
+    return tables.list_trends(_read(spark, sf, "benchmark", "item_id").select(F.col("item_id").alias("topic"), (F.col("item_id") % 5 * 7).alias("first_seen")), 20)
+
+
+@_query(f"{_ALERTS.replace('zscore >= 1 AND', 'zscore >= 1 AND hits >= 5 AND')} SELECT * FROM al ORDER BY bucket DESC, zscore DESC, subject LIMIT 50")
+def alerts_recent(spark, sf):
+    return tables.list_alerts(_alerts(spark, sf), 50, subject="", kind="topic")
+
+
+@_query(f"{_EV} SELECT subject, unit, count(*) FILTER (user_id % 2 = 0) + count(*) FILTER (user_id % 2 = 1) AS hits FROM u GROUP BY 1, 2")
+def added_counts(spark, sf):
+    e = events(spark, sf).withColumn("odd", F.col("did").cast("bigint") % 2)
+    return tables.add_counts(counters.topic_hits(e.where("odd = 0")), counters.topic_hits(e.where("odd = 1")), ["subject", "unit"], "hits")
+
+
+@_query("SELECT item_id AS topic, CASE WHEN item_id % 2 = 0 THEN 1 ELSE 2 END::BIGINT AS first_seen, CASE WHEN item_id % 3 = 0 THEN 20 ELSE 10 END::BIGINT AS last_seen FROM benchmark WHERE item_id % 2 = 0 OR item_id % 3 = 0")
+def merged_trends(spark, sf):
+    rows = _read(spark, sf, "benchmark", "item_id").select(F.col("item_id").alias("topic"))
+    old = rows.where("topic % 2 = 0").select("topic", F.lit(1).cast("bigint").alias("first_seen"), F.lit(10).cast("bigint").alias("last_seen"))
+    new = rows.where("topic % 3 = 0").select("topic", F.lit(2).cast("bigint").alias("first_seen"), F.lit(20).cast("bigint").alias("last_seen"))
+    return tables.merge_trends(old, new)
+
+
+@_query(f"{_PO} SELECT count(*) AS kept, min(ts) AS first_ts FROM d WHERE ts >= {DOC_TIME + 3000}")
+def retained_samples(spark, sf):
+    rows = tables.retained({"samples": posts(spark, sf)}, DOC_TIME + 43200 + 3000)["samples"]
+    return rows.agg(F.count("*").alias("kept"), F.min("ts").alias("first_ts"))
+
+
+@_query("SELECT avg(((n_chars > 500) = (quality = 1))::INT)::DOUBLE AS accuracy FROM documents JOIN labels USING (doc_id)")
+def accuracy(spark, sf):
+    rows = _read(spark, sf, "documents", "doc_id", "n_chars").join(_read(spark, sf, "labels", "doc_id", "quality"), "doc_id")
+    return model.accuracy(rows.select((F.col("n_chars") > 500).cast("double").alias("score"), F.col("quality").alias("label")))
+
+
 def queries() -> dict:
     return {k: f for k, (f, _) in _Q.items()}
 
