@@ -31,12 +31,12 @@ from . import flat, store
 
 MIN_PAIR, ALPHA = 2, 0.4
 #: N-grams of a group, about; bytes of text whose n-grams are sorted together.
-GROUP_WORDS, CHUNK = 1_000_000, 8_000_000
+GROUP_WORDS, CHUNK = 600_000, 5_000_000
 #: Least and most hot words; between, so many that what isn't hot fits a quarter of a group.
 HOT, MOST_HOT = 1_000, 1_000_000
 #: Words that tasks know the count of: those that occur LEAST_KNOWN times, or twice, four times, ... that where it takes it
 #: to have KNOWN of them at most.
-LEAST_KNOWN, KNOWN = 20, 1_000_000
+LEAST_KNOWN, KNOWN = 5, 1_000_000
 #: Stands for the word before a text; mix(0) is 0, so not that.
 _BEGIN = np.uint64(1)
 
@@ -101,7 +101,7 @@ def _counted(docs: DataFrame, which) -> DataFrame:
                 yield counts.rows()
         yield counts.rows()
 
-    return docs.select("text").mapInArrow(run, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
+    return docs.select("text").mapInArrow(flat.tidy(run), "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -153,7 +153,7 @@ def _hot_scores(docs: DataFrame, words, pairs) -> DataFrame:
             ids = rows.column(0).combine_chunks() if rows.num_rows else pa.array([], pa.int64())
             yield pa.RecordBatch.from_arrays([ids, pa.nulls(len(size), pa.int64()), pa.array(np.zeros(len(size), np.int64)), pa.array(score), pa.array(size)], ["doc_id", "word", "due", "score", "n_words"])
 
-    return docs.select("text", F.col("doc_id").cast("bigint").alias("doc_id")).mapInArrow(run, _PARTS)
+    return docs.select("text", F.col("doc_id").cast("bigint").alias("doc_id")).mapInArrow(flat.tidy(run), _PARTS)
 
 
 def _ngrams(docs: DataFrame, groups: int, frequent: np.ndarray, pairs) -> DataFrame:
@@ -199,7 +199,7 @@ def _ngrams(docs: DataFrame, groups: int, frequent: np.ndarray, pairs) -> DataFr
                     yield pa.RecordBatch.from_arrays([pa.array(group[head[k + 1 - len(out) : k + 1]], pa.int32()), pa.array(out, pa.binary())], ["group", "grams"])
                     out = []
 
-    return docs.select("text", F.col("doc_id").cast("bigint").alias("doc_id")).mapInArrow(run, "group int, grams binary")
+    return docs.select("text", F.col("doc_id").cast("bigint").alias("doc_id")).mapInArrow(flat.tidy(run), "group int, grams binary")
 
 
 def _read(blob: bytes, codec) -> list[np.ndarray]:
@@ -225,6 +225,7 @@ def _scored(grams: DataFrame, words, pairs, total: int, min_pair: int, alpha: fl
         doc += np.repeat(np.cumsum([0] + [len(p[5]) for p in parts[:-1]]), [len(p[3]) for p in parts])
         ids, valid = np.concatenate([p[5] for p in parts]), np.concatenate([p[6] for p in parts])
         del parts
+        flat.trim()
         at = np.repeat(np.arange(len(prev)), per_pair)
         here = np.bincount(at, times, len(prev))
         _, back = np.unique(_pair(prev, w), return_inverse=True)

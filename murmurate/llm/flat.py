@@ -8,7 +8,6 @@ A word is a run of bytes other than 0x20 and 0x09-0x0D; null texts are empty.
 from __future__ import annotations
 
 import ctypes
-import gc
 import hashlib
 from collections.abc import Iterator
 
@@ -113,12 +112,21 @@ def hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
 
 def trim() -> None:
     """Hands freed memory back to the system, where the C library can."""
-    gc.collect()
     trimmer = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trimmer:
         trimmer(0)
 
 
+def tidy(run):
+    """run, after which the worker (Spark uses it again) hands back the memory that its last part has left."""
+
+    def whole(batches):
+        yield from run(batches)
+        trim()
+
+    return whole
+
+
 def flatten(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of all texts, and where each begins (with the end of the last)."""
     if column.null_count:
