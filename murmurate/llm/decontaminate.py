@@ -198,7 +198,7 @@ def _hash_rows(texts: DataFrame, lengths: list[int] | None = None) -> DataFrame:
                     row = np.searchsorted(t.first, own, "right") - 1
                     yield pa.RecordBatch.from_arrays([names.take(pa.array(row)), pa.array(own - t.first[row]), pa.array(h.view(np.int64))], ["t", "place", "value"])
 
-    return texts.select("t", "text").mapInArrow(run, "t string, place bigint, value bigint")
+    return texts.select("t", "text").mapInArrow(flat.tidy(run), "t string, place bigint, value bigint")
 
 
 def _lengths(items: DataFrame) -> list[int]:
@@ -209,7 +209,7 @@ def _lengths(items: DataFrame) -> list[int]:
             found = {m for n in set(np.diff(_Text(batch.column(0)).first).tolist()) for _, m in _pieces(n)}
             yield pa.RecordBatch.from_arrays([pa.array(sorted(found), pa.int32())], ["m"])
 
-    return sorted(r.m for r in items.select("text").mapInArrow(run, "m int").distinct().collect())
+    return sorted(r.m for r in items.select("text").mapInArrow(flat.tidy(run), "m int").distinct().collect())
 
 
 def _held(items: DataFrame, max_held: int):
@@ -247,7 +247,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, max_held: int = MAX_HELD) ->
                     sizes = np.array([len(own.words[i]) for i in item], np.int64)
                     yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(a + doc)), pa.array([own.ids[i] for i in item], pa.int64()), pa.array(start), pa.array(end), pa.array(n), pa.array(sizes)], _FOUND.replace(" bigint", "").split(", "))
 
-    return docs.mapInArrow(run, _FOUND)
+    return docs.mapInArrow(flat.tidy(run), _FOUND)
 
 
 def _joined(docs: DataFrame, items: DataFrame) -> DataFrame:
@@ -275,7 +275,7 @@ def _joined(docs: DataFrame, items: DataFrame) -> DataFrame:
                 row, *rest = (np.array(x, np.int64) for x in zip(*out))
                 yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(row)) for c in ("t", "item_t")] + [pa.array(x) for x in rest], ["t", "item_t", "start_word", "end_word", "n_equal", "n_item_words"])
 
-    return pairs.select("t", "item_t", "diagonals", "item", "text").mapInArrow(run, "t string, item_t string, start_word bigint, end_word bigint, n_equal bigint, n_item_words bigint")
+    return pairs.select("t", "item_t", "diagonals", "item", "text").mapInArrow(flat.tidy(run), "t string, item_t string, start_word bigint, end_word bigint, n_equal bigint, n_item_words bigint")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, max_held: int = MAX_HELD) -> DataFrame:
@@ -298,5 +298,5 @@ def clean(docs: DataFrame, benchmark: DataFrame, max_held: int = MAX_HELD) -> Da
                     keep[[a + f[0] for f in own.find(batch.column(at).slice(a, b - a))]] = False
                 yield batch.filter(pa.array(keep))
 
-        left = plain.mapInArrow(run, plain.schema)
+        left = plain.mapInArrow(flat.tidy(run), plain.schema)
     return left.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)])

@@ -37,7 +37,7 @@ MARGIN = 0.16
 ROUNDS, LARGE = 3, 16
 #: Nodes and shingles of a block, about; sets of a shingle (one side times the other) up to which it is counted pair by
 #: pair; columns of a matrix of other shingles.
-BLOCK, BLOCK_SHINGLES, DENSE, COLUMNS = 1024, 1_000_000, 1000, 2048
+BLOCK, BLOCK_SHINGLES, DENSE, COLUMNS = 640, 400_000, 1000, 1024
 _MULT = flat.mix(np.arange(1000, 1000 + M, dtype=np.uint64)) | np.uint64(1)
 _FLIP = flat.mix(np.arange(5000, 5000 + M, dtype=np.uint64))
 
@@ -86,7 +86,7 @@ def sketches(docs: DataFrame) -> DataFrame:
                         regs[i], digest[i] = row.tobytes(), d.tobytes()
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(n.astype(np.int64)), pa.array(digest, pa.binary()), pa.array(regs, pa.binary())], ["doc_id", "n_shingles", "digest", "registers"])
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, n_shingles bigint, digest binary, registers binary")
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(flat.tidy(run), "doc_id bigint, n_shingles bigint, digest binary, registers binary")
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -108,7 +108,7 @@ def bands(nodes: DataFrame) -> DataFrame:
             at = pa.array(row)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(h.reshape(-1).view(np.int64))], ["node", "n", "bucket"])
 
-    return nodes.select("node", "n", "registers").mapInArrow(run, "node bigint, n bigint, bucket bigint")
+    return nodes.select("node", "n", "registers").mapInArrow(flat.tidy(run), "node bigint, n bigint, bucket bigint")
 
 
 def estimate(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
@@ -137,7 +137,7 @@ def _likely(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
                 keep = pa.array(np.flatnonzero(j >= percent / 100 - MARGIN))
                 yield pa.RecordBatch.from_arrays([batch.column(c).take(keep) for c in ("a", "b")], ["a", "b"])
 
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "ra", "rb").mapInArrow(run, "a bigint, b bigint")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "ra", "rb").mapInArrow(flat.tidy(run), "a bigint, b bigint")
 
 
 def _packed(docs: DataFrame) -> DataFrame:
@@ -148,7 +148,7 @@ def _packed(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], ["node", "packed"])
 
     plain = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("doc_id is not null and text is not null")
-    return plain.mapInArrow(run, "node bigint, packed binary")
+    return plain.mapInArrow(flat.tidy(run), "node bigint, packed binary")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
@@ -175,7 +175,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([batch.column(c).take(keep) for c in ("a", "b")], ["a", "b"])
                     at, raw, size = i + 1, [], 0
 
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a bigint, b bigint")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(flat.tidy(run), "a bigint, b bigint")
 
 
 def groups(docs: DataFrame, percent: int = 80) -> DataFrame:
@@ -255,7 +255,7 @@ def _intersections(row: np.ndarray, key: np.ndarray, other: np.ndarray, key2: np
     rare = n * n2 <= DENSE
     own = np.flatnonzero(rare[k])  # keys of few sets: pair by pair
     ends = np.append(0, np.cumsum(n2[k[own]]))
-    for a, b in flat.chunks(ends, 4_000_000):
+    for a, b in flat.chunks(ends, 1_000_000):
         i, j = flat.spread(n2[k[own[a:b]]])
         i = own[a:b][i]
         out += np.bincount(r[i] * shape[1] + r2[first2[k[i]] + j], minlength=len(out))

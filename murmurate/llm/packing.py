@@ -47,7 +47,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, size: int, ids: bool =
                     columns.append(pa.ListArray.from_arrays(pa.array(np.append(begin, at[-1]), pa.int32()), pa.array(values.astype(np.int64))))
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"][: len(columns)])
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(cut, _PIECES + ", ids array<bigint>" * ids)
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(flat.tidy(cut), _PIECES + ", ids array<bigint>" * ids)
 
 
 def plan(counts: dict[int, int], size: int) -> list[tuple[tuple[int, ...], int]]:
@@ -119,7 +119,7 @@ def pack(parts: DataFrame, size: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(base + (rank - lo) // times), pa.array(at + (rank - lo) % times * length)], [*names, "sequence_id", "offset"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in parts.schema) + ", sequence_id bigint, offset bigint"
-    return ranked.mapInArrow(place, schema)
+    return ranked.mapInArrow(flat.tidy(place), schema)
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, size: int = 2048, ids: bool = False) -> DataFrame:

@@ -104,7 +104,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
             s = model.scores(texts)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s), pa.array((s >= threshold).astype(np.int32))], ["doc_id", "score", "predicted"])
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, score double, predicted int")
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(flat.tidy(run), "doc_id bigint, score double, predicted int")
 
 
 def train(docs: DataFrame, labels: DataFrame, learn, rows: int = ROWS) -> Model:

@@ -215,7 +215,7 @@ def _anchors(docs: DataFrame, window: int) -> DataFrame:
                 at = pa.array(a + doc)
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), batch.column(0).take(at), batch.column(1).take(at)], ["key", *_ROW])
 
-    return _texts(docs).mapInArrow(run, "key bigint, doc_id bigint, h bigint")
+    return _texts(docs).mapInArrow(flat.tidy(run), "key bigint, doc_id bigint, h bigint")
 
 
 def _packed(docs: DataFrame, window: int) -> DataFrame:
@@ -234,7 +234,7 @@ def _packed(docs: DataFrame, window: int) -> DataFrame:
             at = pa.array(rows, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(packed, pa.binary())], [*_ROW, "packed"])
 
-    return _texts(docs).mapInArrow(run, "doc_id bigint, h bigint, packed binary")
+    return _texts(docs).mapInArrow(flat.tidy(run), "doc_id bigint, h bigint, packed binary")
 
 
 def _groups(batch: pa.RecordBatch, window: int, codec):
@@ -269,7 +269,7 @@ def _named(rows: DataFrame, window: int, which) -> DataFrame:
                 at = pa.array(np.array(numbers, np.int64)[doc[keep]])
                 yield pa.RecordBatch.from_arrays([pa.array(k1[keep].view(np.int64)), pa.array(k2[keep].view(np.int64)), batch.column("doc_id").take(at), batch.column("h").take(at)], ["k1", "k2", *_ROW])
 
-    return rows.mapInArrow(run, "k1 bigint, k2 bigint, doc_id bigint, h bigint")
+    return rows.mapInArrow(flat.tidy(run), "k1 bigint, k2 bigint, doc_id bigint, h bigint")
 
 
 def _earlier(named: DataFrame, name: str) -> DataFrame:
@@ -323,7 +323,7 @@ def repeated(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out), kinds)], ["doc_id", "h", "n_words", "n_removed", "spans", "text"])
 
     found = rest.join(_earlier(_named(rest, window, windows), "windows"), _ROW, "left").where("windows1 is not null or blocks1 is not null")
-    return found.mapInArrow(cut, "doc_id bigint, h bigint, n_words bigint, n_removed bigint, spans array<array<bigint>>, text string")
+    return found.mapInArrow(flat.tidy(cut), "doc_id bigint, h bigint, n_words bigint, n_removed bigint, spans array<array<bigint>>, text string")
 
 
 def joined(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> bytes:
@@ -352,7 +352,7 @@ def digests(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.concatenate([np.zeros(0, np.int64), *words])), pa.array(sha, pa.string())], ["doc_id", "h", "n_words", "sha"])
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("h"), "text")
-    whole = rows.mapInArrow(run, "doc_id bigint, h bigint, n_words bigint, sha string")
+    whole = rows.mapInArrow(flat.tidy(run), "doc_id bigint, h bigint, n_words bigint, sha string")
     cut = repeated(docs, window).select("doc_id", "h", "n_removed", F.sha2("text", 256).alias("cut_sha"))
     return whole.join(cut, ["doc_id", "h"], "left").select("doc_id", "n_words", F.coalesce("n_removed", F.lit(0)).cast("bigint").alias("n_removed"), F.coalesce("cut_sha", "sha").alias("kept_sha256"))
 

@@ -106,7 +106,7 @@ def measure(docs: DataFrame) -> DataFrame:
             columns = [np.concatenate(x) for x in zip(*parts)] if parts else [np.zeros(0, np.int64)] * len(_COUNTS)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c.astype(np.int64)) for c in columns)], ["doc_id", *_COUNTS])
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, " + ", ".join(f"{c} bigint" for c in _COUNTS))
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(flat.tidy(run), "doc_id bigint, " + ", ".join(f"{c} bigint" for c in _COUNTS))
 
 
 def ledger(measured: DataFrame) -> DataFrame:

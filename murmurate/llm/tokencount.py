@@ -265,4 +265,4 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 512) -> DataFrame
             n = np.concatenate([np.zeros(0, np.int64), *n])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(offs)), pa.array(n), pa.array(n > limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(count, "doc_id bigint, n_bytes bigint, n_tokens bigint, over_limit boolean")
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(flat.tidy(count), "doc_id bigint, n_bytes bigint, n_tokens bigint, over_limit boolean")

@@ -41,7 +41,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, words: bool, end_id: int)
                 place, start = place + 1, start + len(ids)
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(encode, _SEGMENTS).write.parquet(path)
+    rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(flat.tidy(encode), _SEGMENTS).write.parquet(path)
 
 
 def read(spark: SparkSession, path: str, ids: bool = True) -> DataFrame:
@@ -65,4 +65,4 @@ def read(spark: SparkSession, path: str, ids: bool = True) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "n_tokens", "ids_crc32", "ids"][: len(columns)])
 
     rows = segments.select("part", "doc_ids", "segment", "start").join(F.broadcast(before), "part")  # a row for each task that wrote
-    return rows.select("doc_ids", "segment", (F.col("start") + F.col("before")).alias("start")).mapInArrow(decode, schema)
+    return rows.select("doc_ids", "segment", (F.col("start") + F.col("before")).alias("start")).mapInArrow(flat.tidy(decode), schema)

@@ -13,6 +13,7 @@ an empty table gives no rows; columns other than doc_id and text are not looked
 
 from __future__ import annotations
 
+import gc
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -223,6 +224,7 @@ def fit(rows: list[tuple[str, int]], totals: dict[int, int] | None = None) -> Mo
     for k in range(FOLDS):
         rest, own = np.flatnonzero(fold != k), np.flatnonzero(fold == k)
         if len(own) and len(np.unique(y[rest])) == 2:
+            gc.collect()
             flat.trim()
             top[own] = _top(_trained([rows[i] for i in rest]), [rows[i][0] for i in own])
             scored[own] = True
@@ -261,7 +263,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
             s = _scores(held.value, batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s), pa.array((s >= threshold).astype(np.int32))], ["doc_id", "score", "predicted"])
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, score double, predicted int")
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(flat.tidy(run), "doc_id bigint, score double, predicted int")
 
 
 def reject(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
@@ -275,7 +277,7 @@ def reject(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
         for batch in batches:
             yield batch.filter(pa.array(_scores(held.value, batch.column(at)) < threshold))
 
-    return plain.mapInArrow(run, plain.schema).select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)])
+    return plain.mapInArrow(flat.tidy(run), plain.schema).select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)])
 
 
 def train(docs: DataFrame, labels: DataFrame, learn, rows: int = ROWS) -> Model:
