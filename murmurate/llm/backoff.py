@@ -13,7 +13,8 @@ The tables are partitioned by hash and joined to the documents' own n-grams, sum
 4. c(previous) of pairs that were found is left where it isn't known: a row for each document and word, joined to the
    word table.
 N-grams travel as sorted binary arrays: a row holds those of a part of the text for one group, so there are never more
-rows than n-grams. A group holds some GROUP_WORDS n-grams; of a pair that isn't hot, N / hot at most meet in one.
+rows than n-grams; a group's sums travel in the same way, a row for each bucket of documents, where they are added up.
+A group holds some GROUP_WORDS n-grams; of a pair that isn't hot, N / hot at most meet in one.
 
 Null, empty and blank texts score 0 with 0 words. Words are as they stand, in 64-bit names. Rows with null ids are
 scored and counted; rows that repeat a doc_id are one document (their counts and scores add up). An empty table gives no rows.
@@ -31,7 +32,7 @@ from . import flat, store
 
 MIN_PAIR, ALPHA = 2, 0.4
 #: N-grams of a group, about; bytes of text whose n-grams are sorted together.
-GROUP_WORDS, CHUNK = 600_000, 5_000_000
+GROUP_WORDS, CHUNK = 1_000_000, 6_000_000
 #: Least and most hot words; between, so many that what isn't hot fits a quarter of a group.
 HOT, MOST_HOT = 1_000, 1_000_000
 #: Words that tasks know the count of: those that occur LEAST_KNOWN times, or twice, four times, ... that where it takes it
@@ -136,11 +137,59 @@ class _Known:
         return np.where(self.keys[at] == keys, self.n[at], 0.0)
 
 
-_PARTS = "doc_id bigint, word bigint, due bigint, score double, n_words bigint"
+#: Words of the documents of a bucket, about.
+BUCKET_WORDS = 2_000_000
+_PARTS = "bucket int, doc_id bigint, word bigint, due bigint, packed binary"
+_DUE = ["bucket", "doc_id", "word", "due", "packed"]
 
 
-def _hot_scores(docs: DataFrame, words, pairs) -> DataFrame:
-    """A row for each row of docs: its words, and the score of its hot pairs."""
+def _bucket(ids: np.ndarray, buckets: int) -> np.ndarray:
+    return (flat.mix(ids.view(np.uint64) ^ np.uint64(0x5B)) % np.uint64(buckets)).astype(np.int32)
+
+
+def _sums(keys: np.ndarray, score: np.ndarray, words: np.ndarray, buckets: int) -> tuple[pa.Array, pa.Array]:
+    """Bucket and packed sums of documents (keys: twice the id and 1, or 0 for no id, in ascending order)."""
+    codec = zstandard.ZstdCompressor(level=1)
+    own = _bucket(keys, buckets)
+    order = np.argsort(own, kind="stable")
+    begin = np.flatnonzero(np.append(True, own[order][1:] != own[order][:-1])[: len(own)])
+    out = []
+    for x in np.split(order, begin[1:]) if len(order) else []:
+        raw = np.diff(keys[x], prepend=0).astype(np.int64).view(np.uint8).reshape(-1, 8).T.tobytes() + words[x].astype(np.int64).view(np.uint8).reshape(-1, 8).T.tobytes()
+        out.append(np.array([len(x)], np.int64).tobytes() + score[x].astype(np.float64).tobytes() + codec.compress(raw))
+    return pa.array(own[order][begin], pa.int32()), pa.array(out, pa.binary())
+
+
+def _added(rows: DataFrame) -> DataFrame:
+    """doc_id, n_words, score of each document: rows of a bucket hold packed sums, or doc_id and score."""
+
+    def planes(raw: bytes, n: int) -> np.ndarray:
+        return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, n).T).view(np.int64).reshape(-1)
+
+    def add(key, table):
+        codec = zstandard.ZstdDecompressor()
+        packed, ids = table.column("packed").combine_chunks(), table.column("doc_id").combine_chunks()
+        alone = np.flatnonzero(~np.asarray(packed.is_valid()))
+        ids = ids.take(pa.array(alone))
+        keys = [np.where(np.asarray(ids.is_valid()), np.asarray(ids.fill_null(0)).astype(np.int64) * 2 + 1, 0)]
+        score, words = [table.column("score").to_numpy()[alone]], [np.zeros(len(alone), np.int64)]
+        for x in packed.drop_null():
+            blob = x.as_buffer().to_pybytes()
+            n = int(np.frombuffer(blob, np.int64, 1)[0])
+            score.append(np.frombuffer(blob, np.float64, n, 8))
+            raw = codec.decompress(blob[8 + 8 * n :])
+            keys.append(np.cumsum(planes(raw[: 8 * n], n)))
+            words.append(planes(raw[8 * n :], n))
+        keys, score, words = (np.concatenate(x) for x in (keys, score, words))
+        got, back = np.unique(keys, return_inverse=True)
+        n = np.bincount(back, words, len(got)).astype(np.int64)
+        return pa.table([pa.array(got >> 1, mask=got == 0), pa.array(n), pa.array(np.bincount(back, score, len(got)))], ["doc_id", "n_words", "score"])
+
+    return rows.groupBy("bucket").applyInArrow(add, "doc_id bigint, n_words bigint, score double")
+
+
+def _hot_scores(docs: DataFrame, words, pairs, buckets: int) -> DataFrame:
+    """bucket, packed: the words of all documents, and the score of their hot pairs."""
 
     def run(batches):
         for w, first, rows in _names(batches):
@@ -150,10 +199,11 @@ def _hot_scores(docs: DataFrame, words, pairs) -> DataFrame:
             value = np.zeros(len(w) + 1)
             value[1:][own] = np.log(n[own]) - np.log(words.value.of(prev[own]))
             score, size = np.diff(np.cumsum(value)[first]), np.diff(first)
-            ids = rows.column(0).combine_chunks() if rows.num_rows else pa.array([], pa.int64())
-            yield pa.RecordBatch.from_arrays([ids, pa.nulls(len(size), pa.int64()), pa.array(np.zeros(len(size), np.int64)), pa.array(score), pa.array(size)], ["doc_id", "word", "due", "score", "n_words"])
+            ids = rows.column(0).combine_chunks()
+            keys, back = np.unique(np.where(np.asarray(ids.is_valid()), np.asarray(ids.fill_null(0)).astype(np.int64) * 2 + 1, 0), return_inverse=True)
+            yield pa.RecordBatch.from_arrays([*_sums(keys, np.bincount(back, score, len(keys)), np.bincount(back, size, len(keys)), buckets)], ["bucket", "packed"])
 
-    return docs.select("text", F.col("doc_id").cast("bigint").alias("doc_id")).mapInArrow(flat.tidy(run), _PARTS)
+    return docs.select("text", F.col("doc_id").cast("bigint").alias("doc_id")).mapInArrow(flat.tidy(run), "bucket int, packed binary")
 
 
 def _ngrams(docs: DataFrame, groups: int, frequent: np.ndarray, pairs) -> DataFrame:
@@ -215,8 +265,8 @@ def _read(blob: bytes, codec) -> list[np.ndarray]:
     return [np.repeat(w, per_by), prev, per_pair, doc, times, ids, raw[4 * n + 8 * n_ids :].astype(bool)]
 
 
-def _scored(grams: DataFrame, words, pairs, total: int, min_pair: int, alpha: float) -> DataFrame:
-    """doc_id, word (whose count is still due, else null), due (how often), score, and no words."""
+def _scored(grams: DataFrame, words, total: int, buckets: int, min_pair: int, alpha: float) -> DataFrame:
+    """bucket, and packed sums or: doc_id, word whose count is still due, how often."""
 
     def score(key, table):
         codec = zstandard.ZstdDecompressor()
@@ -239,17 +289,19 @@ def _scored(grams: DataFrame, words, pairs, total: int, min_pair: int, alpha: fl
         backed_off = np.log(of_word) - np.log(total) + np.where(begins, 0.0, np.log(alpha))
         value = np.where(found, np.log(of_pair) - np.log(np.maximum(known, 1)), backed_off)
         due = found & (known == 0)
-        doc_keys, first, back = np.unique(np.where(valid, ids, 0) * 2 + valid, return_index=True, return_inverse=True)
+        keys, back = np.unique(np.where(valid, ids * 2 + 1, 0), return_inverse=True)
         doc = back[doc]
-        doc_ids = pa.array(ids[first], mask=~valid[first])
-        sums = np.bincount(doc, value[at] * times, len(first))
+        buckets_, packed = _sums(keys, np.bincount(doc, value[at] * times, len(keys)), np.zeros(len(keys)), buckets)
         left = np.flatnonzero(due[at])
         _, one, back = np.unique(flat.mix(prev[at[left]] ^ flat.mix(doc[left].astype(np.uint64))), return_index=True, return_inverse=True)
-        owed = np.bincount(back, times[left], len(one))
-        ids = doc_ids.take(pa.array(np.concatenate([np.arange(len(first)), doc[left[one]]])))
-        word = pa.concat_arrays([pa.nulls(len(first), pa.int64()), pa.array(prev[at[left[one]]].view(np.int64))])
-        due_of = np.concatenate([np.zeros(len(first)), owed]).astype(np.int64)
-        return pa.table([ids, word, pa.array(due_of), pa.array(np.concatenate([sums, np.zeros(len(one))])), pa.array(np.zeros(len(due_of), np.int64))], ["doc_id", "word", "due", "score", "n_words"])
+        owed, of = np.bincount(back, times[left], len(one)).astype(np.int64), keys[doc[left[one]]]
+        n, m = len(packed), len(one)
+        columns = [
+            pa.concat_arrays([buckets_, pa.array(_bucket(of, buckets))]), pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(of >> 1, mask=of == 0)]),
+            pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(prev[at[left[one]]].view(np.int64))]), pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(owed)]),
+            pa.concat_arrays([packed, pa.nulls(m, pa.binary())]),
+        ]
+        return pa.table(columns, _DUE)
 
     return grams.groupBy("group").applyInArrow(score, _PARTS)
 
@@ -273,9 +325,10 @@ def scores(docs: DataFrame, min_pair: int = MIN_PAIR, alpha: float = ALPHA) -> D
 
     pairs = spark.sparkContext.broadcast(_Known(_counted(docs, hot_pairs).where((F.col("n") * hot >= total) & (F.col("n") >= min_pair))))  # hot rows at most
     grams = _ngrams(docs, max(1, -(-total // GROUP_WORDS)), frequent, pairs)
-    parts = _scored(grams, words, pairs, total, min_pair, alpha)
+    buckets = max(1, -(-total // BUCKET_WORDS))
+    parts = _scored(grams, words, total, buckets, min_pair, alpha)
     owed = parts.join(table.select(F.col("word").alias("of"), "n"), (F.col("word") == F.col("of")) & (F.col("due") > 0), "left")
-    value = F.col("score") + F.when(F.col("due") > 0, -F.col("due") * F.log("n")).otherwise(0.0)
-    whole = _hot_scores(docs, words, pairs).select("doc_id", "score", "n_words")
-    sums = owed.select("doc_id", value.alias("score"), "n_words").unionByName(whole).groupBy("doc_id").agg(F.sum("n_words").alias("n_words"), F.sum("score").alias("score"))
+    rows = owed.select("bucket", "doc_id", (-F.col("due") * F.log("n")).alias("score"), "packed")
+    whole = _hot_scores(docs, words, pairs, buckets).select("bucket", F.lit(None).cast("bigint").alias("doc_id"), F.lit(None).cast("double").alias("score"), "packed")
+    sums = _added(rows.unionByName(whole))
     return sums.select("doc_id", "n_words", "score", F.when(F.col("n_words") > 0, F.col("score") / F.col("n_words")).alias("per_word"))
