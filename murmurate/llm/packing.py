@@ -47,7 +47,11 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, size: int, ids: bool =
                     columns.append(pa.ListArray.from_arrays(pa.array(np.append(begin, at[-1]), pa.int32()), pa.array(values.astype(np.int64))))
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"][: len(columns)])
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(flat.tidy(cut), _PIECES + ", ids array<bigint>" * ids)
+    def forgetting(batches):  # workers are used again by other stages, which need the memory
+        yield from cut(batches)
+        tokens.coder(tokenizer, False).clear()
+
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(flat.tidy(forgetting), _PIECES + ", ids array<bigint>" * ids)
 
 
 def plan(counts: dict[int, int], size: int) -> list[tuple[tuple[int, ...], int]]:

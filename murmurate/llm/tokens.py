@@ -67,9 +67,10 @@ class Coder:
         self.bytes = np.zeros(self.tokenizer.get_vocab_size(), np.int64)
         for token, i in self.tokenizer.get_vocab().items():
             self.bytes[i] = len(token.removesuffix("</w>") if words else token)
-        self._clear()
+        self.clear()
 
-    def _clear(self) -> None:
+    def clear(self) -> None:
+        """Forgets the known pieces."""
         self.keys = np.zeros(1 << _SLOT_BITS, np.uint64)
         self.at = np.zeros(1 << _SLOT_BITS, np.int64)
         self.size = np.zeros(1 << _SLOT_BITS, np.int64)
@@ -126,7 +127,7 @@ class Coder:
             start, end, first = spaced_pieces(data, offs)
             names = flat.hashes(data, start, end)
         if self.used > _HELD:
-            self._clear()
+            self.clear()
         slot = (names >> np.uint64(64 - _SLOT_BITS)).astype(np.int64)
         at, size = self.at[slot], self.size[slot]
         miss = np.flatnonzero(self.keys[slot] != names)
