@@ -60,6 +60,22 @@ def recurring(names: np.ndarray, first: np.ndarray) -> np.ndarray:
     return out
 
 
+def worst_windows(logits: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each text, the mean logit of its worst window and that window's first word; first: where each text's words begin, and the end."""
+    sums = np.append(0.0, np.cumsum(logits))
+    tries = np.maximum(np.diff(first) - WINDOW + 1, 1)
+    row, place = flat.spread(tries)
+    begin = first[row] + place
+    end = np.minimum(begin + WINDOW, first[row + 1])
+    mean = (sums[end] - sums[begin]) / np.maximum(end - begin, 1)
+    at = np.cumsum(tries) - tries
+    if not len(at):
+        return np.zeros(0), at
+    top = np.maximum.reduceat(mean, at)
+    hits = np.flatnonzero(mean == top[row])
+    return top, begin[hits[np.searchsorted(hits, at)]]
+
+
 @dataclass
 class Model:
     #: What each n-gram adds to the logit: its vector along the difference of the softmax's two rows.
@@ -92,18 +108,7 @@ class Model:
 
     def worst(self, w: flat.Words) -> tuple[np.ndarray, np.ndarray]:
         """Of each text, the logit of its worst window (without bias) and that window's first word."""
-        sums = np.append(0.0, np.cumsum(self.words(w)))
-        n = np.diff(w.first)
-        tries = np.maximum(n - WINDOW + 1, 1)
-        row, place = flat.spread(tries)
-        begin = w.first[row] + place
-        end = np.minimum(begin + WINDOW, w.first[row + 1])
-        mean = (sums[end] - sums[begin]) / np.maximum(end - begin, 1)
-        at = np.cumsum(tries) - tries
-        top = np.maximum.reduceat(mean, at) if len(at) else np.zeros(0)
-        hits = np.flatnonzero(mean == top[row])
-        first = hits[np.searchsorted(hits, at)] if len(at) else at
-        return top, begin[first] if len(at) else at
+        return worst_windows(self.words(w), w.first)
 
     def scores(self, data: np.ndarray, offs: np.ndarray) -> np.ndarray:
         top, _ = self.worst(flat.Words(data, offs))
@@ -137,6 +142,8 @@ class _Trainer:
         self.soft = rng.normal(0, 0.3, (SIZE, 2)).astype(np.float32)
         self.bias = np.zeros(2, np.float32)
         self.moments = [[np.zeros_like(p), np.zeros_like(p)] for p in (self.vectors, self.soft, self.bias)]
+        #: Marks of a step's n-grams and their columns in its bags.
+        self.used, self.column = np.zeros(1 << BUCKET_BITS, bool), np.zeros(1 << BUCKET_BITS, np.int64)
         self.steps = 0
         self.rng = rng
         self.once = ~recurring(names, self.first)
@@ -147,8 +154,14 @@ class _Trainer:
             yield a, flat.Words(self.data[self.offs[a] : self.offs[b]], self.offs[a : b + 1] - self.offs[a])
 
     def worst(self, model: Model) -> np.ndarray:
-        """The first word of each text's worst window."""
-        return np.concatenate([model.worst(w)[1] + self.first[a] for a, w in self._parts()])
+        """The first word of each text's worst window; the n-grams of distinct words are known already."""
+        owner = np.repeat(np.arange(len(self.count), dtype=np.int32), self.count)
+        known = np.bincount(owner, model.weights[self.gram], len(self.count)) / np.maximum(self.count, 1)
+        out = []
+        for a, b in flat.chunks(self.offs):
+            own = slice(self.first[a], self.first[b])
+            out.append(worst_windows(np.where(self.once[own], known[self.word[own]], 0.0), self.first[a : b + 1] - self.first[a])[1] + self.first[a])
+        return np.concatenate(out)
 
     def bag(self, docs: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """N-grams in the bags of these texts, and how much each weighs in which."""
@@ -157,13 +170,15 @@ class _Trainer:
         inner, k = flat.spread(self.count[word])
         gram = self.gram[self.at[word][inner] + k]
         weight = (self.once[begin[row] + place] / (end - begin)[row])[inner] / self.count[word][inner]
-        own, column = np.unique(gram, return_inverse=True)
-        dense = np.bincount(row[inner] * len(own) + column, weight, len(docs) * len(own)).reshape(len(docs), len(own))
+        self.used[gram] = True
+        own = np.flatnonzero(self.used)
+        self.used[own], self.column[own] = False, np.arange(len(own))
+        dense = np.bincount(row[inner] * len(own) + self.column[gram], weight, len(docs) * len(own)).reshape(len(docs), len(own))
         return own, dense.astype(np.float32)
 
     def step(self, docs: np.ndarray, begin: np.ndarray, end: np.ndarray, class_weight: np.ndarray, rate: float) -> None:
         own, x = self.bag(docs, begin, end)
-        vectors = self.vectors[own]
+        vectors = self.vectors.take(own, 0)
         hidden = x @ vectors
         logits = hidden @ self.soft + self.bias
         p = np.exp(logits - logits.max(1, keepdims=True))
@@ -173,11 +188,16 @@ class _Trainer:
         grads = [x.T @ (p @ self.soft.T) + 1e-6 * vectors, hidden.T @ p, p.sum(0)]
         self.steps += 1
         for i, (param, g) in enumerate(zip((self.vectors, self.soft, self.bias), grads)):
-            m, v = self.moments[i]
-            at = own if i == 0 else slice(None)
-            m[at] = 0.9 * m[at] + 0.1 * g
-            v[at] = 0.99 * v[at] + 0.01 * g * g
-            param[at] -= rate * (m[at] / (1 - 0.9**self.steps)) / (np.sqrt(v[at] / (1 - 0.99**self.steps)) + 1e-8)
+            m, v = ((x.take(own, 0) for x in self.moments[i]) if i == 0 else self.moments[i])
+            m *= 0.9
+            m += 0.1 * g
+            v *= 0.99
+            v += 0.01 * g * g
+            move = rate * (m / (1 - 0.9**self.steps)) / (np.sqrt(v / (1 - 0.99**self.steps)) + 1e-8)
+            if i == 0:  # only the rows of this step's n-grams
+                param[own], self.moments[i][0][own], self.moments[i][1][own] = vectors - move, m, v
+            else:
+                param -= move
 
     def model(self) -> Model:
         way = (self.soft[:, 1] - self.soft[:, 0]).astype(np.float64)
