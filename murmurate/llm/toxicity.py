@@ -192,10 +192,17 @@ class _Trainer:
             m *= 0.9
             m += 0.1 * g
             v *= 0.99
-            v += 0.01 * g * g
-            move = rate * (m / (1 - 0.9**self.steps)) / (np.sqrt(v / (1 - 0.99**self.steps)) + 1e-8)
+            spread = 0.01 * g
+            spread *= g
+            v += spread
+            np.sqrt(np.divide(v, 1 - 0.99**self.steps, out=spread), out=spread)
+            spread += 1e-8
+            move = np.divide(m, 1 - 0.9**self.steps, out=g)
+            move *= rate
+            move /= spread
             if i == 0:  # only the rows of this step's n-grams
-                param[own], self.moments[i][0][own], self.moments[i][1][own] = vectors - move, m, v
+                vectors -= move
+                param[own], self.moments[i][0][own], self.moments[i][1][own] = vectors, m, v
             else:
                 param -= move
 
