@@ -165,3 +165,27 @@ def test_pipeline(spark, tmp_path):
     for i, t in want.items():
         ids = np.array([*lib.encode(t, add_special_tokens=False).ids, 1], "<u4")
         assert [(r.start, r.length, r.ids_crc32) for r in got[i]] == [(0, len(ids), zlib.crc32(ids.tobytes()))]
+
+
+def test_worst_windows_against_brute_force():
+    rng = np.random.default_rng(3)
+    sizes = [0, 1, 5, toxicity.WINDOW, toxicity.WINDOW + 1, 90, 0, 40]
+    first = np.append(0, np.cumsum(sizes))
+    logits = rng.integers(-3, 4, first[-1]).astype(float)  # integers, so that windows tie
+    top, begin = toxicity.worst_windows(logits, first)
+    for k, n in enumerate(sizes):
+        starts = range(max(n - toxicity.WINDOW + 1, 1))
+        means = [logits[first[k] + s : min(first[k] + s + toxicity.WINDOW, first[k + 1])] for s in starts]
+        means = [m.mean() if len(m) else 0.0 for m in means]
+        assert np.isclose(top[k], max(means))
+        assert begin[k] == first[k] + int(np.argmax(np.round(means, 9)))
+    assert [len(x) for x in toxicity.worst_windows(np.zeros(0), np.zeros(1, int))] == [0, 0]
+
+
+def test_trainer_finds_the_windows_of_the_model():
+    rng = random.Random(5)
+    rows = [(" ".join(rng.choice("ab abc bad good word other bad".split()) for _ in range(rng.randrange(1, 60))), k % 2) for k in range(40)]
+    trainer = toxicity._Trainer([t for t, _ in rows], np.array([y for _, y in rows]))
+    model = trainer.model()
+    data, offs = flat.flatten(pa.array([t for t, _ in rows], pa.large_string()))
+    assert np.array_equal(trainer.worst(model), model.worst(flat.Words(data, offs))[1])
