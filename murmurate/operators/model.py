@@ -20,9 +20,9 @@ def density(order: Window) -> Column:
 
 
 def features(rows: DataFrame, minutes: int, kind: str) -> DataFrame:
-    """rows: scored with history_density, and terms and links where known. Adds the features."""
+    """rows: scored with history_density, and terms and links where known (null: none). Adds the features."""
     angle = F.floor(F.col("start") / 3600) % 24 * (2 * math.pi / 24)
-    size = lambda c: F.size(c).cast("double") if c in rows.columns else F.lit(0.0)
+    size = lambda c: F.coalesce(F.size(c).cast("double"), F.lit(0.0)) if c in rows.columns else F.lit(0.0)
     made = {
         "log_hits": F.log1p("hits"), "zscore": F.least(F.col("zscore"), F.lit(config.Z_CAP)), "log_multiple": F.log1p("multiple"), "baseline_silent": (F.col("baseline") <= 0).cast("double"),
         "share_per_mille": F.col("share") * 1000, "is_term": F.lit(float(kind == "term")), "is_multiword": F.col("subject").contains(" ").cast("double"), "is_hashtag": F.col("subject").startswith("#").cast("double"),
