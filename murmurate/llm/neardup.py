@@ -202,6 +202,7 @@ def groups(docs: DataFrame, percent: int = 80) -> DataFrame:
     found = store.keep(again, "links")
     star = components.stars(found)
     for round_ in range(ROUNDS + 1):
+        store.rest(docs.sparkSession)
         labelled = members.join(star.select(F.col("a").alias("node"), F.col("b").alias("root")), "node", "left").withColumn("root", F.coalesce("root", "node"))
         open_ = labelled.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), *_pivots(round_)).where("lo < hi").drop("lo", "hi")
         open_ = store.keep(open_, "open-buckets")
@@ -217,6 +218,7 @@ def groups(docs: DataFrame, percent: int = 80) -> DataFrame:
         if round_ == ROUNDS:
             found = found.unionByName(_blocks(rest.where(F.col("members") > LARGE), texts, percent))
         new = store.keep(found, "links")
+        store.rest(docs.sparkSession)
         star = components.stars(star.unionByName(new))
     root = of_doc.groupBy("doc_id").agg(F.min("node").alias("node")).join(star.select(F.col("a").alias("node"), F.col("b").alias("root")), "node", "left").select("doc_id", F.coalesce("root", "node").alias("root"))
     out = sk.select("doc_id", "n_shingles").join(root, "doc_id", "left")

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import flat, labelled
+from . import flat, labelled, store
 
 #: Labelled documents of each class that a model is fitted to, and their bytes, at most.
 ROWS, BYTES = 2000, 4_000_000
@@ -308,6 +308,8 @@ def reject(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
 
 
 def train(docs: DataFrame, labels: DataFrame, learn, rows: int = ROWS) -> Model:
-    model = fit(*labelled.sample(docs, labels, "toxic", learn, rows, BYTES))
+    got = labelled.sample(docs, labels, "toxic", learn, rows, BYTES)
+    store.rest(docs.sparkSession)  # training needs the driver's Python most
+    model = fit(*got)
     flat.trim()
     return model

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from murmurate.llm import decontaminate, flat, labelled, packing, queries, repeats, tokencount, tokens, toxicity
+from murmurate.llm import decontaminate, flat, labelled, neardup, packing, queries, repeats, store, tokencount, tokens, toxicity
 
 
 def tokenizer(name):
@@ -189,3 +189,35 @@ def test_trainer_finds_the_windows_of_the_model():
     model = trainer.model()
     data, offs = flat.flatten(pa.array([t for t, _ in rows], pa.large_string()))
     assert np.array_equal(trainer.worst(model), model.worst(flat.Words(data, offs))[1])
+
+
+def whole_collections(spark):
+    """How often the JVM has collected its whole heap, as it does when asked to."""
+    beans = spark.sparkContext._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+    return sum(b.getCollectionCount() for b in beans if "Old" in b.getName() or "MarkSweep" in b.getName())
+
+
+def test_the_driver_collects_its_garbage_before_it_trains(spark, monkeypatch):
+    d = docs(spark, [(i, f"word {i}") for i in range(8)])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(8)], "doc_id long, toxic int")
+    before, seen, fit = whole_collections(spark), [], toxicity.fit
+    monkeypatch.setattr(toxicity, "fit", lambda rows, totals: seen.append((len(rows), whole_collections(spark))) or fit([], None))
+    toxicity.train(d, labels, F.lit(True))
+    assert seen[0][0] == 8 and seen[0][1] > before
+
+
+def test_the_driver_collects_its_garbage_between_rounds_of_near_duplicates(spark):
+    d = docs(spark, [(i, f"a b c d e f g h {i // 2}") for i in range(8)])
+    before = whole_collections(spark)
+    out = neardup.groups(d)
+    assert whole_collections(spark) > before
+    assert {r.doc_id: r.component_id for r in out.collect()} == {i: i // 2 * 2 for i in range(8)}
+
+
+def test_the_jvm_trims_its_native_memory(spark):
+    jvm = spark.sparkContext._jvm
+    beans = jvm.java.lang.management.ManagementFactory
+    version = [int(x) for x in beans.getRuntimeMXBean().getSpecVersion().split(".")]
+    if version[0] < 17:
+        pytest.skip("older JVMs have no such command")
+    assert "rim" in store._trim_jvm(spark)
